@@ -39,7 +39,7 @@ DICTIONARY = "example sample changeme placeholder password secret token dummy te
 HARMLESS = "example sample dummy fake mock placeholder test fixture checksum digest commit revision sha1 sha256 md5 uuid etag".split()
 REAL = "production prod live aws deploy login connect export env secret credential private".split()
 TREES, DEPTH, FINDINGS, SEED = 15, 5, 1_500, 7
-FEATURES = ["length", "changes", "distinct", "digits", "hex", "covered", "path", "keyed", "quoted", "harmless", "real", "repeats"]
+FEATURES = ["length", "changes", "distinct", "digits", "hex", "covered", "path", "keyed", "quoted", "harmless", "real", "repeats", "issued"]
 CONTEXT = 60
 
 
@@ -75,8 +75,9 @@ def described(found: DataFrame) -> DataFrame:
         "path": flag(v.rlike(r"^[./~]|/[A-Za-z._-]{3,}/|\.[a-z]{2,4}$") | F.col("before").rlike(r"[/\\]$")),
         "keyed": flag(whole.rlike(r"(?i)(token|secret|key|passw|credential)")),
         "quoted": flag(whole.rlike("[\"'`]")),
-        "harmless": flag(near.rlike("|".join(HARMLESS))),
-        "real": flag(near.rlike("|".join(REAL))),
+        "harmless": flag(near.rlike(rf"\b(?:{'|'.join(HARMLESS)})\b")),
+        "real": flag(near.rlike(rf"\b(?:{'|'.join(REAL)})\b")),
+        "issued": flag(F.col("rule") != "assigned"),
         "repeats": 1 - F.length(F.regexp_replace(low, r"(.)\1+", "$1")) / size,
     }
     return df.withColumns({k: F.coalesce(x.cast("double"), F.lit(0.0)) for k, x in feature.items()})
@@ -104,7 +105,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
             return "AIza" + some(upper + lower + digits + "_-", 35)
         if kind == 4:
             return "eyJ" + some(upper + lower + digits, 17) + "." + some(upper + lower + digits, 40) + "." + some(upper + lower + digits + "_-", 43)
-        value = rng.choice([lambda: some(digits + "abcdef", rng.choice([32, 40, 64])), lambda: some(digits + "ABCDEF", rng.choice([32, 40])), lambda: base64.b64encode(rng.randbytes(rng.choice([24, 30, 33]))).decode(), lambda: some(upper + lower + digits + "!@$%", rng.randint(12, 20))])()
+        value = rng.choice([lambda: some(digits + "abcdef", rng.randint(16, 64)), lambda: some(digits + "ABCDEF", rng.randint(16, 64)), lambda: base64.b64encode(rng.randbytes(rng.choice([24, 30, 33]))).decode(), lambda: some(upper + lower + digits + "!@$%", rng.randint(12, 20))])()
         q = rng.choice(['"', '"', "'", ""])
         return rng.choice(["token", "secret", "api_key", "password", "access_key", "auth_key"]) + rng.choice([" = ", "=", ": "]) + q + value
 
