@@ -33,6 +33,8 @@ K, ANCHOR = 13, 5
 #: Words that are hashed at a time, and word hashes that a task remembers.
 CHUNK, MEMO = 400_000, 300_000
 DECIDED = 0xFFFFFFFF
+#: Documents with a path to be judged anew that may be broadcast.
+FEW = 10_000
 KEY = ["doc_id", "th"]
 
 
@@ -270,12 +272,16 @@ def without_repeats(docs: DataFrame, k: int = K, *, with_text: bool = False) ->
     # a path whose two copies differ: hashes met by chance
     wrong = result.select(F.explode("checks").alias("c")).groupBy("c.key").agg(F.countDistinct("c.digest").alias("kinds")).where("kinds > 1").select("key")
     name = F.xxhash64(*KEY, "start", "n", "src_doc", "src_start").alias("key")
-    if wrong.isEmpty():
-        out = result
-    else:
-        wrong = stored(wrong, "repeat-wrong")
-        right = paths.withColumn("key", name).join(wrong, "key", "left_anti").drop("key")
-        out = judged(docs, spans_of(right), k, with_text)
+    out = result
+    if not wrong.isEmpty():
+        # only the documents of such paths are judged anew, without them
+        keyed = stored(paths.withColumn("key", name).join(wrong, "key", "left_semi"), "repeat-wrong")
+        these, right = keyed.select(*KEY).distinct(), paths.withColumn("key", name)
+        few = these.count() <= FEW
+        these = F.broadcast(these) if few else these
+        spans = spans_of(right.join(keyed.select("key"), "key", "left_anti").join(these, KEY, "left_semi"))
+        again = judged(docs.join(these, KEY, "left_semi"), spans.join(these, KEY, "left_semi"), k, with_text)
+        out = result.join(these, KEY, "left_anti").unionByName(again)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", *([F.col("kept").cast("string").alias("kept")] if with_text else []))
 
 
