@@ -8,7 +8,7 @@ of its document. Two documents agree in a register with the probability Jaccard
 similarity of their weighted shingles.
 
 ``BANDS`` bands of ``ROWS`` registers make buckets: a pair of similarity 0.8 meets with
-probability 1 - (1 - 0.8^ROWS)^BANDS > 0.999999. Members of a bucket are compared with
+probability 1 - (1 - 0.8^ROWS)^BANDS > 0.99999. Members of a bucket are compared with
 its best connected member, then members of one bucket that are still in different
 classes with each other, so a link is found without making all pairs of a group. A link
 needs a Jaccard similarity of the shingle sets of ``SIMILARITY`` or more, exactly.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,10 +33,16 @@ from .decontam import words
 from .substring import CHUNK, WordHashes, grams, mixed, odd
 
 WORDS, SIMILARITY = 5, 0.8
-ROWS, BANDS = 3, 20
+ROWS, BANDS = 6, 40
+#: Lowest bits of the registers, by which pairs that are surely less similar are left out: a bit
+#: differs with probability (1 - J) / 2, so at 0.8 24 of 240 do, and over 52 (six deviations) never.
+SKETCH, DIFFERENT = ROWS * BANDS, 52
 #: Comparisons with a bucket's best member; the rest is compared by class.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
+#: Buckets up to this size are compared by a join, larger ones in tiles of so many members and shingles.
+SMALL, TILE, TILE_GRAMS = 24, 2_048, 2_000_000
 LEAST = -(1 << 63)
+BITS = ["s0", "s1", "s2", "s3"]
 
 
 def shingles(ids: np.ndarray) -> np.ndarray:
@@ -70,6 +77,12 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> list[np.ndarray]:
+    """The lowest bits of the registers, 60 in each of four integers."""
+    bits = (sig & np.uint64(1)).astype(np.int64).reshape(len(sig), 4, -1)
+    return list((bits << np.arange(bits.shape[2])).sum(axis=2).T)
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, node, n, bands): node is the text's digest, null without words; n counts its shingles."""
 
@@ -84,10 +97,11 @@ def signatures(docs: DataFrame) -> DataFrame:
             doc, element = doc[order], element[order]
             new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])))) if len(doc) else np.zeros(0, np.int64)
             count = np.diff(np.append(new, len(doc)))
-            bands = band_hashes(prob_minhash(doc[new], element[new], 1 + np.log(count), len(parts), ROWS * BANDS)).view(np.int64)
+            sig = prob_minhash(doc[new], element[new], 1 + np.log(count), len(parts), ROWS * BANDS)
+            bands = band_hashes(sig).view(np.int64)
             n = np.bincount(doc[new], minlength=len(parts))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(parts) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            return batch(["doc_id", "node", "n", "bands"], pa.array(d, pa.int64()), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists)
+            return batch(["doc_id", "node", "n", "bands", *BITS], pa.array(d, pa.int64()), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists, *sketches(sig))
 
         def each(b):
             held, total = [], 0
@@ -105,7 +119,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_arrow(docs.select("doc_id", as_bytes()), make, "doc_id long, node binary, n long, bands array<long>")
+    return map_arrow(docs.select("doc_id", as_bytes()), make, "doc_id long, node binary, n long, bands array<long>, s0 long, s1 long, s2 long, s3 long")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -164,12 +178,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have a link."""
-    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("keeper"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("keeper"), F.first("bands").alias("bands"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in BITS))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     rows = stored(rows.join(sizes, "bucket"), "near-buckets")
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
-    info = nodes.select("node", "keeper", "n").join(degree, "node")
+    info = nodes.select("node", "keeper", "n", *BITS).join(degree, "node")
     members = stored(info, "near-members")
     rows = stored(rows.drop("size").join(members.select("node", "n", "degree"), "node"), "near-rows")
     keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("keeper"), as_bytes()).withColumn("node", F.unhex(F.md5("text")))
@@ -191,15 +205,59 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     labels = components(judged.where("ok"))
     # members of one bucket in different classes
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_ = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
-    left = stored(named.join(mixed_, "bucket").select("bucket", "node", "n", "label"), "near-mixed")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.n") >= SIMILARITY * F.col("y.n")) & (F.col("y.n") >= SIMILARITY * F.col("x.n")))
+    mixed_ = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("mixed").drop("mixed")
+    left = stored(named.join(mixed_, "bucket").select("bucket", "node", "n", "label", "size", "weight"), "near-mixed")
+    small = left.where(F.col("size") <= SMALL).join(members.select("node", *BITS), "node")
+    x, y = small.alias("x"), small.alias("y")
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in BITS), F.lit(0))
+    alike = (apart <= DIFFERENT) & (F.col("x.n") >= SIMILARITY * F.col("y.n")) & (F.col("y.n") >= SIMILARITY * F.col("x.n"))
+    cross = x.join(y, alike & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(similar(cross, sets).where("ok"), "near-cross")
+    large = left.where(F.col("size") > SMALL).join(sets, "node").join(nodes.select("node", "bands", *BITS), "node")
+    more = stored(similar(cross, sets).where("ok").select("a", "b").union(links_in_tiles(large)), "near-cross")
     if more.isEmpty():
         return labels
-    return components(judged.where("ok").select("a", "b").union(more.select("a", "b")))
+    return components(judged.where("ok").select("a", "b").union(more))
+
+
+def links_in_tiles(rows: DataFrame) -> DataFrame:
+    """Links (a, b) between members of one bucket in different classes, for large buckets.
+
+    A bucket is cut into tiles of at most TILE members (and TILE_GRAMS shingles), and a
+    task takes two of them. It compares inside, and emits links only. A pair is looked at
+    in the first bucket that it shares, if sizes and sketches allow a link; one link of a
+    document to a class is enough.
+    """
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_GRAMS)).cast("int")
+    tiled = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keyed = tiled.select("bucket", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "label", "n", "grams", "bands", *BITS)
+
+    def links(key, g):
+        bucket, lo, hi = key
+        n, label, tile = g["n"].to_numpy(), g["label"].to_numpy(), g["tile"].to_numpy()
+        bands, bits, node = np.stack(g["bands"]), g[BITS].to_numpy(np.int64), g["node"].to_numpy()
+        sets, place = [np.frombuffer(x, np.uint64) for x in g["grams"]], int(np.flatnonzero(bands[0] == bucket)[0])
+        code = np.unique(label, return_inverse=True)[1]
+        a, b = [], []
+        for i in range(len(g)):
+            on = (code[i + 1 :] != code[i]) & (n[i + 1 :] >= SIMILARITY * n[i]) & (n[i] >= SIMILARITY * n[i + 1 :])
+            if lo != hi:
+                on &= tile[i + 1 :] != tile[i]
+            j = np.flatnonzero(on) + i + 1
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= DIFFERENT]
+            j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
+            met = set()
+            for k in j.tolist():
+                if code[k] in met:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if both >= SIMILARITY * (len(sets[i]) + len(sets[k]) - both):
+                    met.add(code[k])
+                    a.append(min(node[i], node[k]))
+                    b.append(max(node[i], node[k]))
+        return pd.DataFrame({"a": a, "b": b})
+
+    return keyed.groupBy("bucket", "lo", "hi").applyInPandas(links, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
