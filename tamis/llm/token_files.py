@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import CACHE, default_path, piece_cutter
+from .bpe import default_path, piece_cutter
 from .common import batch, fresh_dir, map_arrow, partitions, prepare, stored, table
 
 MAGIC = b"DACTOK01"
@@ -37,6 +37,8 @@ FILE_TOKENS = 4 << 20
 #: Documents that are encoded together.
 GROUP = 200
 BLOCK = 512
+#: Pieces that a worker remembers, twice over.
+CACHE = 200_000
 SEGMENT = 1 << 18
 END_ID = 2
 
@@ -207,6 +209,16 @@ class LibraryEncoder:
         return out
 
 
+_encoders: dict[str, LibraryEncoder] = {}
+
+
+def encoder_of(path: str) -> LibraryEncoder:
+    """One encoder for each worker process, which later tasks find warm."""
+    if path not in _encoders:
+        _encoders[path] = LibraryEncoder(path)
+    return _encoders[path]
+
+
 # ---- files
 
 
@@ -234,7 +246,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     folder = folder if "://" in folder else f"file://{folder}"
 
     def run(batches):
-        encoder, part, seq = LibraryEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         held: list[tuple[int | None, bytes]] = []
         size = 0
 
