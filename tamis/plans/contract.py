@@ -388,7 +388,7 @@ ORACLE_SQL = {
     "target_mask_counts": "SELECT count(*) FILTER (o_orderstatus = 'F') AS events, count(*) FILTER (o_orderstatus = 'O') AS non_events, count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS ignored FROM orders",
     "target_is_binary": "SELECT 'toxic' AS target, bool_and(toxic IN (0, 1)) AS already_binary FROM labels UNION ALL SELECT 'quality', bool_and(quality IN (0, 1)) FROM labels UNION ALL SELECT 'o_orderstatus', bool_and(o_orderstatus IN ('0', '1')) FROM orders",
     "weights_clean": "SELECT round(sum(CASE WHEN l_linenumber > 1 THEN l_quantity ELSE 1.0 END), 2) + 0.0 AS total_weight, count(*) AS n_rows FROM lineitem",
-    "woe_by_category": f"WITH o AS (SELECT o_orderpriority AS category, CASE o_orderstatus WHEN 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders WHERE o_orderstatus IN ('F', 'O')), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM o), g AS (SELECT category, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n FROM o GROUP BY 1) SELECT category, e AS events, n AS non_events, round({_woe('g.e', 'g.n')}, 6) + 0.0 AS woe, round({_iv('g.e', 'g.n')}, 6) + 0.0 AS iv, g.e + g.n AS count, round((g.e + g.n) * 100 / (tot.E + tot.N), 6) AS population_pct, round(g.e / (g.e + g.n), 6) AS event_rate FROM g, tot",
+    "woe_by_category": f"WITH o AS (SELECT o_orderpriority AS category, CASE o_orderstatus WHEN 'F' THEN 1.0 ELSE 0.0 END AS y FROM orders WHERE o_orderstatus IN ('F', 'O')), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM o), g AS (SELECT category, sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM o GROUP BY 1) SELECT category, ev AS events, nev AS non_events, round({_woe('ev', 'nev')}, 6) + 0.0 AS woe, round({_iv('ev', 'nev')}, 6) + 0.0 AS iv, ev + nev AS count, round((ev + nev) * 100 / (tot.E + tot.N), 6) AS population_pct, round(ev / (ev + nev), 6) AS event_rate FROM g, tot",
     "woe_rare_other": f"WITH p AS (SELECT p_name, CASE WHEN p_size > 25 THEN 1.0 ELSE 0.0 END AS y, count(*) OVER (PARTITION BY p_name) AS k FROM part), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM p), g AS (SELECT CASE WHEN k < 30 THEN 'OTHER' ELSE p_name END AS category, count(*) AS rows, sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM p GROUP BY 1) SELECT category, rows, ev AS events, nev AS non_events, round({_woe('ev', 'nev')}, 6) + 0.0 AS woe, round({_iv('ev', 'nev')}, 6) + 0.0 AS iv FROM g, tot",
     "missing_bin_woe": f"WITH d AS (SELECT *, CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END AS y FROM {_LABELLED}), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM d), g AS (SELECT sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM d WHERE quality IS NULL) SELECT 'quality' AS feature, ev AS events, nev AS non_events, round({_woe('ev', 'nev')}, 6) + 0.0 AS woe, round({_iv('ev', 'nev')}, 6) + 0.0 AS iv FROM g, tot WHERE ev + nev > 0",
     "iv_categorical": f"WITH {_CATS} SELECT feature, round(sum(iv), 6) + 0.0 AS iv FROM w GROUP BY 1",
