@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import batch, map_arrow, prepare, table
 
 SAMPLE, LEAST = 6_000, 50
+PARTS = 256
 BITS = 12
 GAP = 0.7
 LETTER = re.compile(r"[^\W\d_]")
@@ -130,8 +131,11 @@ def trained(docs: DataFrame) -> Model:
     if not langs:
         return Model([], np.zeros((0, 0)), *(np.zeros(0) for _ in range(4)))
     each = max(LEAST, SAMPLE // len(langs))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "doc_id")
+    # the least hashes of each of PARTS parts of a language first, so no language is sorted in one task
+    inside, order = Window.partitionBy("lang", "part").orderBy("h", "doc_id"), Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(PARTS)))
+    least = ids.withColumn("r", F.row_number().over(inside)).where(F.col("r") <= each)
+    chosen = least.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "doc_id")
 
     def make():
         def each_(b):
