@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, prepare, table
 
-SAMPLE, LEAST = 6_000, 50
+SAMPLE, LEAST = 3_000, 50
 PARTS = 256
 BITS = 12
 GAP = 0.7
@@ -100,7 +100,7 @@ def fitted(langs: list[str], labels: list[str], counts: np.ndarray) -> Model:
     for b in range(bits):
         on = codes[:, b] > 0
         weights[:, b] = np.log(per[on].mean(axis=0) + 1e-6) - np.log(per[~on].mean(axis=0) + 1e-6)
-        x, y = counts @ weights[:, b] / size, on[index].astype(float)
+        x, y = counts @ weights[:, b].astype(np.float32) / size, on[index].astype(float)
         scale[b], shift[b] = logistic(x, y)
         right = ((x * scale[b] + shift[b] > 0) == (y > 0)).mean()
         trust[b] = 0.5 * math.log((right + 1e-2) / (1 - right + 1e-2))
@@ -139,14 +139,21 @@ def trained(docs: DataFrame) -> Model:
 
     def make():
         def each_(b):
-            rows = [gram_counts(t).astype(np.int32) for t in b.column(1).to_pylist()]
-            yield batch(["lang", "counts"], b.column(0), pa.array(rows, pa.list_(pa.int32())))
+            rows = []
+            for t in b.column(1).to_pylist():
+                c = gram_counts(t)
+                at = np.flatnonzero(c)
+                rows.append(np.stack((at, np.minimum(c[at], 0xFFFF))).astype("<u2").tobytes())
+            yield batch(["lang", "counts"], b.column(0), pa.array(rows, pa.binary()))
 
         return each_
 
     texts = docs.select("lang", "doc_id", "text").join(F.broadcast(chosen.distinct()), ["lang", "doc_id"]).where("text is not null")
-    got = map_arrow(texts.select("lang", "text"), make, "lang string, counts array<int>").limit(2 * max(SAMPLE, each * len(langs))).toArrow()
-    counts = got["counts"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, 1 << BITS) if got.num_rows else np.zeros((0, 1 << BITS))
+    got = map_arrow(texts.select("lang", "text"), make, "lang string, counts binary").limit(2 * max(SAMPLE, each * len(langs))).toArrow()
+    counts = np.zeros((got.num_rows, 1 << BITS), np.float32)
+    for k, packed in enumerate(got["counts"]):
+        at, n = np.frombuffer(packed.as_buffer(), "<u2").reshape(2, -1)
+        counts[k, at] = n
     return fitted(langs, got["lang"].to_pylist(), counts)
 
 
