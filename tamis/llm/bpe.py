@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, prepare, table
 
-CACHE = 300_000
+CACHE = 120_000
 NO_PAIR = 1 << 62
 
 
