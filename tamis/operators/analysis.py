@@ -52,7 +52,7 @@ def auc(groups: DataFrame) -> DataFrame:
     run = tied.withColumn("before", F.coalesce(F.sum(F.col("p") + F.col("q")).over(ahead), F.lit(0.0)))
     u = run.groupBy("feature").agg(F.sum(F.col("p") * (F.col("before") + (F.col("p") + F.col("q")) / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     value = F.try_divide(F.col("u") - F.col("p") * F.col("p") / 2, F.col("p") * F.col("q"))
-    return u.select("feature", F.coalesce(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("auc"))
+    return u.select("feature", F.when(value.isNull(), 0.5).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))).alias("auc"))
 
 
 def gini_of(scored: DataFrame) -> DataFrame:
