@@ -67,7 +67,7 @@ def encoded(hist: DataFrame, bins: DataFrame) -> DataFrame:
     by_bound = bins.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("lower", "bin", "woe"))).alias("b"))
     rows = hist.where("value is not null").join(F.broadcast(by_bound), "feature")
     fit = F.filter("b", lambda x: x["lower"] <= F.col("value"))
-    score = F.when(F.size(fit) > 0, F.element_at(fit, -1)["woe"]).otherwise(F.col("b")[0]["woe"])
+    score = F.coalesce(F.try_element_at(fit, F.lit(-1))["woe"], F.col("b")[0]["woe"])
     return rows.select("feature", score.alias("score"), "events", "non_events").groupBy("feature", "score").agg(F.sum("events").alias("events"), F.sum("non_events").alias("non_events"))
 
 

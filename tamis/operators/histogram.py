@@ -31,7 +31,9 @@ def histogram(df: DataFrame, features: list[str], kind: str) -> DataFrame:
 def with_running(df: DataFrame, key: str, order: list[str], sums: list[str]) -> DataFrame:
     """Adds run_<c>, the running sum of each c within a feature, in ``order``; ``key`` is its numeric leading column."""
     cuts = df.groupBy("feature").agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
-    ranged = df.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")
+    # plain comparisons stay in generated code, unlike a lambda over the array
+    place = sum(((F.get("cuts", F.lit(k)) < F.col(key)).cast("int") for k in range(RANGES - 1)), F.lit(0))
+    ranged = df.join(F.broadcast(cuts), "feature").withColumn("range", place).drop("cuts")
     parts = ranged.groupBy("feature", "range").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])
     ahead = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # at most RANGES rows a feature
