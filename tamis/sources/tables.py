@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sas7bdat
+
 FORMATS = ("csv", "parquet", "sas7bdat")
 INFER_ROWS = 10_000
 ROW_GROUP = 100_000
@@ -42,11 +44,14 @@ def read(spark: SparkSession, path: str, infer_rows: int = INFER_ROWS) -> DataFr
         return spark.read.parquet(path)
     if kind == "csv":
         return spark.read.schema(csv_schema(spark, path, infer_rows)).option("header", True).csv(path)
-    raise NotImplementedError("SAS7BDAT files can't be read yet")
+    sas7bdat.register(spark)
+    return spark.read.format("sas7bdat").load(path)
 
 
 def column_names(spark: SparkSession, path: str) -> list[str]:
-    """Without reading data: the schema alone."""
+    """Without reading data: the schema alone (of SAS files the metadata pages)."""
+    if kind_of(path) == "sas7bdat":
+        return [c.name for c in sas7bdat.read_layout(path).columns]
     return read(spark, path, 100).columns
 
 
