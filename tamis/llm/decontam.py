@@ -259,3 +259,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_covera
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+i AS (
+  SELECT item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+spots AS (
+  SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS p FROM i WHERE len(ws) > 0),
+item_win AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS w FROM spots),
+sizes AS (
+  SELECT DISTINCT n FROM item_win),
+starts AS (
+  SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d CROSS JOIN sizes),
+doc_win AS (
+  SELECT r, n, p, array_to_string(ws[p:p + n - 1], ' ') AS w FROM starts),
+found AS (
+  SELECT r, doc_win.n, p, item_id FROM doc_win JOIN item_win ON doc_win.w = item_win.w AND doc_win.n = item_win.n),
+reach AS (
+  SELECT r, p, max(p + n - 1) AS far FROM found GROUP BY r, p),
+word AS (
+  SELECT r, unnest(range(1, len(ws) + 1)) AS p FROM d),
+hit AS (
+  SELECT word.r, word.p, max(far) OVER (PARTITION BY word.r ORDER BY word.p ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS far
+  FROM word LEFT JOIN reach ON word.r = reach.r AND word.p = reach.p),
+hits AS (
+  SELECT r, count(*) AS n_hit FROM hit WHERE far >= p GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""

@@ -288,3 +288,36 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws
+  FROM documents),
+node AS (
+  SELECT row_number() OVER () AS v, text, ws FROM (SELECT DISTINCT text, ws FROM d WHERE len(ws) > 0)),
+spots AS (
+  SELECT v, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS p FROM node),
+shingle AS (
+  SELECT DISTINCT v, array_to_string(ws[p:p + 4], ' ') AS s FROM spots),
+size AS (
+  SELECT v, count(*) AS n FROM shingle GROUP BY v),
+sized AS (
+  SELECT v, s, n FROM shingle JOIN size USING (v)),
+common AS (
+  SELECT a.v AS v, b.v AS u, any_value(a.n + b.n) AS total, count(*) AS c
+  FROM sized a JOIN sized b ON a.s = b.s AND a.v <> b.v WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.v, b.v),
+link AS (
+  SELECT v, u FROM common WHERE 5 * c >= 4 * (total - c)),
+reach AS (
+  SELECT v, v AS u FROM node
+  UNION SELECT reach.v, link.u FROM reach JOIN link ON reach.u = link.v),
+label AS (
+  SELECT v, min(u) AS l FROM reach GROUP BY v),
+named AS (
+  SELECT doc_id, l FROM d LEFT JOIN node ON d.text = node.text LEFT JOIN label USING (v)),
+class AS (
+  SELECT l, min(doc_id) AS class_id, count(*) AS class_size FROM named WHERE l IS NOT NULL GROUP BY l)
+SELECT doc_id, CASE WHEN l IS NULL THEN doc_id ELSE class_id END AS class_id, coalesce(class_size, 1) AS class_size
+FROM named LEFT JOIN class USING (l)
+"""

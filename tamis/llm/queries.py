@@ -19,4 +19,4 @@ QUERIES = {
         bpe.op10_bpe,
     )
 }
-ORACLE_SQL = {"op1_url_filter": url_filter.OP1_SQL}
+ORACLE_SQL = {"op1_url_filter": url_filter.OP1_SQL, "op4_substring_dedup": substring.OP4_SQL, "op6_minhash": near_dedup.OP6_SQL, "op8_decontamination": decontam.OP8_SQL}

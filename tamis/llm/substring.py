@@ -287,3 +287,27 @@ def without_repeats(docs: DataFrame, k: int = K, *, with_text: bool = False) ->
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (
+  SELECT r, doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM d),
+win AS (
+  SELECT r, doc_id, p, array_to_string(ws[p:p + 12], ' ') AS w FROM g),
+least AS (
+  SELECT w, min(doc_id) AS d0 FROM win GROUP BY w),
+hit AS (
+  SELECT r, p FROM win JOIN least USING (w) WHERE doc_id > d0),
+word AS (
+  SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+judged AS (
+  SELECT word.r, word.p, word,
+         max(CASE WHEN hit.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY word.r ORDER BY word.p ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM word LEFT JOIN hit ON word.r = hit.r AND word.p = hit.p),
+kept AS (
+  SELECT r, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone = 0) AS text FROM judged GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
