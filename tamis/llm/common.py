@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(path: str, data: bytes) -> None:
+    """Writes a file of the shared folder."""
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+
+
+def fetch(path: str) -> bytes:
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    with fs.open_input_stream(at) as f:
+        return f.readall()
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions, which the cluster sizes by its input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -1,8 +1,9 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
 The driver builds the automaton of a chunk of items (a chunk holds at most
-``CHUNK_BYTES`` of item text, so what is broadcast is bounded; more items make more
-chunks, each streamed over by the same task). Tasks stream document words through it,
+``CHUNK_BYTES`` of item text, or one item) and writes it to the shared folder before it
+reads the next chunk. A worker holds one automaton at a time and takes each batch of
+documents past all of them, so neither grows with the benchmark. Tasks stream document words through it,
 track the longest matching length, and mark every word inside a window of ``n``
 consecutive item words. An item of fewer words is one window.
 
@@ -13,6 +14,8 @@ Repeated documents are judged one by one; items that repeat an id count as one i
 from __future__ import annotations
 
 import hashlib
+import pickle
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, map_arrow, prepare, table
+from .common import as_bytes, batch, fetch, fresh_dir, map_arrow, prepare, put, table
 
 CHUNK_BYTES = 8 << 20
 #: Digits and letters stand, A-Z become a-z, other ASCII separates, bytes of other characters stand.
@@ -158,44 +161,65 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def automata(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> list[SuffixAutomaton]:
-    """One automaton for each chunk of items, each of at most CHUNK_BYTES of text (or one item)."""
-    chunks, size = [[]], 0
+def chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items, at most CHUNK_BYTES of text (or one item) at a time; one empty chunk if there are none."""
+    held, size = [], 0
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null and t is not null")
     for r in rows.toLocalIterator():
-        if size + len(r.t) > CHUNK_BYTES and chunks[-1]:
-            chunks.append([])
-            size = 0
-        chunks[-1].append((r.i, words(bytes(r.t))))
+        if held and size + len(r.t) > CHUNK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((r.i, words(bytes(r.t))))
         size += len(r.t)
-    return [SuffixAutomaton(c, n) for c in chunks]
+    yield held
 
 
-def matches(machines: list[SuffixAutomaton], ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    spans, items = [], set()
-    for m in machines:
-        s, i = m.spans(ws)
-        spans += s
-        items |= i
-    return merged(spans), items
+def automata(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> list[str]:
+    """Writes an automaton of each chunk to the shared folder, one after the other; returns their paths."""
+    folder, paths = fresh_dir(benchmark.sparkSession, "automata"), []
+    for k, items in enumerate(chunks(benchmark, id_col, text_col)):
+        paths.append(f"{folder}/{k:06d}")
+        put(paths[-1], pickle.dumps(SuffixAutomaton(items, n), protocol=5))
+    return paths
+
+
+_held: dict[str, SuffixAutomaton] = {}
+
+
+def automaton(path: str) -> SuffixAutomaton:
+    """A worker process holds one, which later batches and tasks find."""
+    if path not in _held:
+        _held.clear()
+        _held[path] = pickle.loads(fetch(path))
+    return _held[path]
+
+
+def matches(paths: list[str], texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+    """Of each text: the number of its words, the word ranges hit, the items found."""
+    n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for path in paths:
+        machine = automaton(path)
+        for k, t in enumerate(texts):
+            ws = words(t)
+            found, ids = machine.spans(ws)
+            n[k] = len(ws)
+            spans[k] += found
+            items[k] |= ids
+    return list(zip(n, map(merged, spans), items, strict=True))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: words, words hit, items found, digest of the item ids, flag."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(automata(benchmark, n, item_col, item_text_col))
+    paths = automata(benchmark, n, item_col, item_text_col)
 
     def make():
-        machines = shared.value
-
         def each(b):
             rows = []
-            for t in b.column(1).to_pylist():
-                ws = words(t)
-                spans, items = matches(machines, ws)
+            for n_words, spans, items in matches(paths, b.column(1).to_pylist()):
                 hit = sum(y - x for x, y in spans)
-                rows.append((len(ws), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0))
+                rows.append((n_words, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0))
             yield batch(["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)))
 
         return each
@@ -226,22 +250,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_covera
     """
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(automata(benchmark, n, "item_id", "text"))
+    paths = automata(benchmark, n, "item_id", "text")
     names = docs.columns
 
     def make():
-        machines, k = shared.value, names.index("text")
+        k = names.index("text")
 
         def each(b):
             texts, keep = b.column(k).to_pylist(), []
             counts = b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for i, t in enumerate(texts):
-                ws = words(t)
-                spans, _ = matches(machines, ws)
+            for i, (n_words, spans, _) in enumerate(matches(paths, texts)):
                 hit = sum(y - x for x, y in spans)
-                keep.append(hit <= max_coverage * len(ws))
+                keep.append(hit <= max_coverage * n_words)
                 if hit and keep[-1]:
-                    texts[i] = cut(t, spans)
+                    texts[i] = cut(texts[i], spans)
                     if counts:
                         counts[i] = len(texts[i].decode("utf-8", "replace"))
             cols = list(b.columns)

@@ -25,13 +25,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, default_path, piece_cutter
-from .common import batch, fresh_dir, map_arrow, partitions, prepare, stored, table
+from .common import batch, fetch, fresh_dir, map_arrow, partitions, prepare, put, stored, table
 
 MAGIC = b"DACTOK01"
 FILE_TOKENS = 4 << 20
@@ -259,19 +258,6 @@ def encoder_of(path: str) -> LibraryEncoder:
 # ---- files
 
 
-def put(path: str, data: bytes) -> None:
-    fs, at = pafs.FileSystem.from_uri(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at) as f:
-        f.write(data)
-
-
-def fetch(path: str) -> bytes:
-    fs, at = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(at) as f:
-        return f.readall()
-
-
 MANIFEST = "part long, seq long, path string, n_docs long, n_ids long"
 
 

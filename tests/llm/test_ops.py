@@ -202,7 +202,7 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 3 or vec_id = 50"), F.col("id") == 50).count() == 3
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(6)
     items = [(1, prose(rng, 25)), (2, prose(rng, 10)), (3, "Cat, dog!"), (4, None), (5, "..."), (2, prose(rng, 12)), (None, "dog egg fox")]
     texts = [prose(rng, 60) + " " + items[0][1][30:100] + " " + prose(rng, 9), items[1][1].upper() + "!", "a cat  DOG b", "", None, items[0][1] + " " + items[5][1], prose(rng, 300)]
@@ -225,6 +225,9 @@ def test_decontamination(spark):
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     got = [tuple(r) for r in decontam.contamination(docs(spark, rows), bench).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 40)  # an automaton for each item
+    assert len(decontam.automata(bench, 10, "item_id", "text")) > 3
+    assert sorted((tuple(r) for r in decontam.contamination(docs(spark, rows), bench).collect()), key=str) == sorted(want, key=str)
     clean = decontam.decontaminate(docs(spark, rows), bench)
     assert clean.columns == docs(spark, []).columns and clean.where("doc_id in (3, 4)").count() == 2
     assert decontam.contamination(clean, bench).where("contaminated").count() == 0
