@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-Shingles are ``WORDS`` consecutive normalised words (a shorter text is one shingle),
-weighted by 1 + ln(occurrences). Every shingle is a Poisson process of arrivals whose
+Shingles are ``WORDS`` consecutive normalised words (a shorter text is one shingle), all
+of weight 1, however often they occur. Every shingle is a Poisson process of arrivals whose
 rate is its weight; each arrival falls on a random register, which keeps the shingle
 that came first. A shingle stops as soon as its next arrival is later than all registers
 of its document. Two documents agree in a register with the probability Jaccard
-similarity of their weighted shingles.
+similarity of their shingles, which at equal weights is the Jaccard similarity of the
+sets: candidates are searched by the similarity that makes a link.
 
 ``BANDS`` bands of ``ROWS`` registers make buckets: a pair of similarity 0.8 meets with
 probability 1 - (1 - 0.8^ROWS)^BANDS > 0.99999. Members of a bucket are compared with
@@ -96,8 +97,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             order = np.lexsort((element, doc))
             doc, element = doc[order], element[order]
             new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])))) if len(doc) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(doc)))
-            sig = prob_minhash(doc[new], element[new], 1 + np.log(count), len(parts), ROWS * BANDS)
+            sig = prob_minhash(doc[new], element[new], np.ones(len(new)), len(parts), ROWS * BANDS)
             bands = band_hashes(sig).view(np.int64)
             n = np.bincount(doc[new], minlength=len(parts))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(parts) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))

@@ -177,6 +177,17 @@ def test_near_dedup(spark, monkeypatch):
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_repeated_passages(spark):
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        w = [f"{k}w{rng.randint(0, 10**6)}" for _ in range(120)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:5] + [f"{k}v"] + w[6:70] + w[70:110] * 60 + w[110:]))]
+    got = near_dedup.classes(docs(spark, rows))
+    want = brute_classes(rows)
+    assert all(c == d - d % 2 for d, c in want)
+    assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == want
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((600, 16)).astype(np.float32)
