@@ -35,9 +35,9 @@ from .substring import CHUNK, WordHashes, grams, mixed, odd
 
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 40
-#: Lowest bits of the registers, by which pairs that are surely less similar are left out: a bit
-#: differs with probability (1 - J) / 2, so at 0.8 24 of 240 do, and over 52 (six deviations) never.
-SKETCH, DIFFERENT = ROWS * BANDS, 52
+#: Bits of a document's sketch, each the parity of the number of its shingles that fall on it. A shingle
+#: of only one of two documents turns one bit, so they have as many unlike shingles as unlike bits, at least.
+SKETCH = 256
 #: Comparisons with a bucket's best member; the rest is compared by class.
 STAR_ROUNDS = 4
 #: Buckets up to this size are compared by a join, larger ones in tiles of so many members and shingles.
@@ -78,10 +78,19 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(sig: np.ndarray) -> list[np.ndarray]:
-    """The lowest bits of the registers, 60 in each of four integers."""
-    bits = (sig & np.uint64(1)).astype(np.int64).reshape(len(sig), 4, -1)
-    return list((bits << np.arange(bits.shape[2])).sum(axis=2).T)
+def sketches(doc: np.ndarray, element: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """The SKETCH parities of documents given as (document, element) without repeats, 64 in each of four integers."""
+    odd_ = np.bincount(doc * SKETCH + (mixed(element) % np.uint64(SKETCH)).astype(np.int64), minlength=n_docs * SKETCH) & 1
+    return list(np.packbits(odd_.astype(np.uint8)).view(np.int64).reshape(n_docs, 4).T)
+
+
+def may_link(unlike, n, m):
+    """Whether sets of n and m shingles with so many unlike bits can reach the similarity, for columns and arrays.
+
+    With c of T = n + m shared, c >= 0.8 (T - c) means 9 c >= 4 T: at most T - 2 c <= T / 9 are
+    unlike. No pair that verification accepts is refused. The size bound is SIMILARITY itself.
+    """
+    return (9 * unlike <= n + m) & (n >= SIMILARITY * m) & (m >= SIMILARITY * n)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -101,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             bands = band_hashes(sig).view(np.int64)
             n = np.bincount(doc[new], minlength=len(parts))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(parts) + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            return batch(["doc_id", "node", "n", "bands", *BITS], pa.array(d, pa.int64()), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists, *sketches(sig))
+            return batch(["doc_id", "node", "n", "bands", *BITS], pa.array(d, pa.int64()), pa.array(nodes, pa.binary()), pa.array(n, pa.int64()), lists, *sketches(doc[new], element[new], len(parts)))
 
         def each(b):
             held, total = [], 0
@@ -210,8 +219,7 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     small = left.where(F.col("size") <= SMALL).join(members.select("node", *BITS), "node")
     x, y = small.alias("x"), small.alias("y")
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in BITS), F.lit(0))
-    alike = (apart <= DIFFERENT) & (F.col("x.n") >= SIMILARITY * F.col("y.n")) & (F.col("y.n") >= SIMILARITY * F.col("x.n"))
-    cross = x.join(y, alike & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
+    cross = x.join(y, may_link(apart, F.col("x.n"), F.col("y.n")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
     large = left.where(F.col("size") > SMALL).join(sets, "node").join(nodes.select("node", "bands", *BITS), "node")
     more = stored(similar(cross, sets).where("ok").select("a", "b").union(links_in_tiles(large)), "near-cross")
@@ -225,7 +233,7 @@ def links_in_tiles(rows: DataFrame) -> DataFrame:
 
     A bucket is cut into tiles of at most TILE members (and TILE_GRAMS shingles), and a
     task takes two of them. It compares inside, and emits links only. A pair is looked at
-    in the first bucket that it shares, if sizes and sketches allow a link; one link of a
+    in the first bucket that it shares, if sizes and sketches allow a link (they refuse what can't be one); one link of a
     document to a class is enough.
     """
     tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_GRAMS)).cast("int")
@@ -235,16 +243,16 @@ def links_in_tiles(rows: DataFrame) -> DataFrame:
     def links(key, g):
         bucket, lo, hi = key
         n, label, tile = g["n"].to_numpy(), g["label"].to_numpy(), g["tile"].to_numpy()
-        bands, bits, node = np.stack(g["bands"]), g[BITS].to_numpy(np.int64), g["node"].to_numpy()
+        bands, bits, node = np.stack(g["bands"]), np.ascontiguousarray(g[BITS].to_numpy(np.int64)), g["node"].to_numpy()
         sets, place = [np.frombuffer(x, np.uint64) for x in g["grams"]], int(np.flatnonzero(bands[0] == bucket)[0])
         code = np.unique(label, return_inverse=True)[1]
         a, b = [], []
         for i in range(len(g)):
-            on = (code[i + 1 :] != code[i]) & (n[i + 1 :] >= SIMILARITY * n[i]) & (n[i] >= SIMILARITY * n[i + 1 :])
+            on = (code[i + 1 :] != code[i]) & may_link(0, n[i], n[i + 1 :])
             if lo != hi:
                 on &= tile[i + 1 :] != tile[i]
             j = np.flatnonzero(on) + i + 1
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= DIFFERENT]
+            j = j[may_link(np.bitwise_count((bits[j] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64), n[i], n[j])]
             j = j[~(bands[j, :place] == bands[i, :place]).any(axis=1)]
             met = set()
             for k in j.tolist():

@@ -188,6 +188,21 @@ def test_near_dedup_repeated_passages(spark):
     assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == want
 
 
+def test_near_dedup_links_of_short_texts(spark):
+    rng, rows = random.Random(10), []
+    for k in range(600):
+        w = [f"{k}w{rng.randint(0, 10**6)}" for _ in range(9)]
+        rows += [(2 * k, " ".join(w[:8])), (2 * k + 1, " ".join(w))]  # 4 of 5 shingles
+    df = docs(spark, rows).select("doc_id", "text")
+    sigs = near_dedup.signatures(df).collect()
+    sets = {bytes(r.node): bytes(r.grams) for r in near_dedup.shingle_sets(spark.createDataFrame([(r.node, rows[r.doc_id][1].encode()) for r in sigs], "node binary, text binary")).collect()}
+    bands = {r.doc_id: r.bands for r in sigs}
+    first = {k: next(a for a, b in zip(bands[2 * k], bands[2 * k + 1], strict=True) if a == b) for k in range(600)}
+    made = [(first[r.doc_id // 2], r.node, 2, 9, sets[bytes(r.node)], r.node, r.n, r.bands, r.s0, r.s1, r.s2, r.s3) for r in sigs]
+    buckets = spark.createDataFrame(made, "bucket long, label binary, size long, weight long, grams binary, node binary, n long, bands array<long>, s0 long, s1 long, s2 long, s3 long")
+    assert near_dedup.links_in_tiles(buckets.coalesce(4)).count() == 600
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((600, 16)).astype(np.float32)
