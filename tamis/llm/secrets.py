@@ -24,15 +24,19 @@ from pyspark.sql import functions as F
 from .common import prepare, table
 
 # Rules, in order; the pattern's match is the candidate with what assigns it.
+# A key block reaches to its END line, or over the base64 lines that follow if it has none.
 RULES = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:(?:(?!-----)(?s:.))*+-----END [A-Z ]*?PRIVATE KEY-----|(?:\s++[0-9A-Za-z+/]{32,}+={0,2})*+)",
     "aws_key": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
     "github": r"\bgh[pousr]_[0-9A-Za-z]{36}\b",
-    "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,80}",
+    "slack": r"\bxox[abprs]-[0-9A-Za-z-]{10,}+",
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "assigned": r"(?i:\b[a-z0-9_.-]{0,20}?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"'`]?[0-9A-Za-z+/_.$@!%-]{8,200}={0,2})",
 }
+ISSUED = "|".join(RULES.values())
+# What is assigned to a telling name: the name from its first character (or from the last match), any blanks, the whole value.
+# A key of the other rules is no part of the name, and a key block no value.
+RULES["assigned"] = rf"(?i:(?:(?<![a-z0-9_.-])|\G)(?:(?!(?-i:{ISSUED}))[a-z0-9_.-])*?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s*+(?::=|=>|[:=])\s*+[\"'`]?(?!-----BEGIN )[0-9A-Za-z+/_.$@!%-]{{8,}}+={{0,2}})"
 PATTERN = "|".join(RULES.values())
 # Dictionary of covering words, and words that tell of harmless or of real values nearby.
 DICTIONARY = "example sample changeme placeholder password secret token dummy test your here insert none null undefined true false value string config default admin user name the and for with this that from have not foo bar baz lorem ipsum key api xxxx 0000 1234 abcd".split()

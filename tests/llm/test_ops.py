@@ -270,6 +270,33 @@ def test_secrets(spark):
     assert secrets.scanned(docs(spark, [])).count() == 0
 
 
+def test_secrets_are_whole(spark):
+    rng = random.Random(11)
+    some = lambda n, chars="0123456789abcdefABCDEFxyz": "".join(rng.choice(chars) for _ in range(n))
+    jwt, long, slack = f"eyJ{some(90)}.{some(120)}.{some(96)}", some(5000), "xoxb-" + some(120)
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n" + "\n".join(some(64) for _ in range(25)) + "\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(some(64) for _ in range(3))
+    aws, github = "AKIA" + some(16, "ABCDEFGH234567"), "ghp_" + some(36)
+    cases = [
+        ("PAYMENT_GATEWAY_SERVICE_API_KEY=" + long[:40], [long[:40]]),
+        ("password" + " " * 12 + "=" + "\t" * 9 + long[:30], [long[:30]]),
+        ("password:\n" + " " * 8 + long[:30], [long[:30]]),
+        ("token = " + jwt + " end", [jwt]),
+        (f"token={long} token={long[:-1]}", [long, long[:-1]]),
+        ("a " + slack + " b", [slack]),
+        (f"secret: {block} and {block}", [block, block]),
+        (cut + "\nthe end", [cut]),
+        (f"x.{github}.token=" + long[:20], [github, long[:20]]),
+        (aws + "-token=" + long[:20], [aws, long[:20]]),
+        ("a.b-c_" * 20000 + " " + "x-" * 40000 + " -----BEGIN PRIVATE KEY" * 2000, []),
+    ]
+    got = {}
+    for r in secrets.scanned(docs(spark, [(k, t) for k, (t, _) in enumerate(cases)])).orderBy("doc_id", "at").collect():
+        got.setdefault(r.doc_id, []).append((r.candidate_sha256, r.n_chars, r.is_secret))
+    for k, (_, want) in enumerate(cases):
+        assert got.get(k, []) == [(hashlib.sha256(w.encode()).hexdigest(), len(w), True) for w in want], cases[k][0][:60]
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
