@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, map_arrow, prepare, stored, table
@@ -268,30 +268,35 @@ def links_in_tiles(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket", "lo", "hi").applyInPandas(links, "a binary, b binary")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size of every document, and node, its text's digest."""
-    spark = docs.sparkSession
-    prepare(spark)
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, node and label of every document: node is the text's digest, label its class; both null without words."""
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = stored(signatures(docs), "near-signatures")
-    labels = linked(docs, sigs)
-    named = sigs.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sigs.select("doc_id", "node").join(linked(docs, sigs), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, class_size of every document, and node, its text's digest."""
+    named = labelled(docs)
     whole = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("label").isNull()
     return named.join(whole, "label", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), "node")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least doc_id; columns as in docs."""
-    found = stored(classes(docs), "near-classes")
-    kept = found.where("doc_id is null or doc_id = class_id or class_id is null").select(F.coalesce("doc_id", F.lit(LEAST)).alias("_k"), F.coalesce("node", F.lit(b"")).alias("_node"), F.coalesce("class_id", F.lit(LEAST)).alias("_c"), F.col("class_id").isNull().alias("_nameless"))
-    # a class whose ids are all null keeps its least text; nameless rows beside a named one go
-    named, nameless = kept.where("not _nameless and _k != %d" % LEAST), kept.where("_nameless")
-    ids = named.groupBy("_k").agg(F.min("_node").alias("_node")).union(nameless.select("_k", "_node").distinct())
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("_node", F.when(F.col("text").isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(F.col("text").cast("binary")))))
-    once = Window.partitionBy("_k").orderBy("_node")
-    joined = keyed.join(ids.withColumnRenamed("_node", "_want").hint("shuffle_hash"), "_k")
-    return joined.where((F.col("_want") == F.col("_node")) | (F.col("_want") == F.lit(b""))).withColumn("_r", F.row_number().over(once)).where("_r = 1 or _k = %d" % LEAST).select(*docs.columns)
+    """One document of each class; columns as in docs.
+
+    It is the one with the least doc_id (null comes last), then the least text's digest. A
+    text without words is a class of its own, so all of these stay, whatever their ids.
+    """
+    rank = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(LEAST)).alias("_k"), F.col("node").alias("_node"))
+    wanted = stored(labelled(docs).where("label is not null").groupBy("label").agg(F.min(rank).alias("least")).select("least.*"), "near-keepers")
+    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    key = F.col("doc_id").cast("long")
+    keyed = docs.where(worded).withColumns({"_null": key.isNull(), "_k": F.coalesce(key, F.lit(LEAST)), "_node": F.unhex(F.md5(F.col("text").cast("binary")))})
+    kept = keyed.join(wanted.hint("shuffle_hash"), ["_null", "_k", "_node"], "left_semi").dropDuplicates(["_null", "_k", "_node"])
+    return kept.select(*docs.columns).union(docs.where(~worded))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

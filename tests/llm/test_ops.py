@@ -177,6 +177,17 @@ def test_near_dedup(spark, monkeypatch):
     assert near_dedup.classes(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_keeps_one_of_each(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f, g = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) for _ in range(7))
+    rows = [(1, a), (1, b), (1, a), (2, None), (2, c), (2, "..."), (2, "..."), (None, d), (None, d), (None, d + " more"), (None, e), (None, a), (3, b + " more"), (None, None), (near_dedup.LEAST, f), (None, f), (None, g), (5, g + " é")]
+    got = [(r.doc_id, r.text) for r in near_dedup.one_of_each(docs(spark, rows)).collect()]
+    of_d = [x for x in got if x[0] is None and x[1] in (d, d + " more")]
+    assert len(of_d) == 1
+    want = [(1, a), (1, b), (2, None), (2, c), (2, "..."), (2, "..."), (None, e), (None, None), (near_dedup.LEAST, f), (5, g + " é")]
+    assert sorted(got, key=str) == sorted(want + of_d, key=str)
+
+
 def test_near_dedup_repeated_passages(spark):
     rng, rows = random.Random(9), []
     for k in range(60):
