@@ -1,7 +1,8 @@
 """PII surrogates: detected entities receive keyed, type-consistent replacements.
 
 Kinds: e-mail, telephone, IPv4, IPv6, payment card, social security number, IBAN, and
-personal names after a title or an introduction. Everything but names is mapped by a keyed
+personal names after a title or an introduction, with all other mentions of such a name in
+the same document. Everything but names is mapped by a keyed
 permutation (a Feistel network with cycle walking) over all values of the same format,
 shifted so that no value stays: equal values get equal surrogates in every document
 (coreference), different values different ones (distinctness), and no surrogate is its own
@@ -9,7 +10,8 @@ original. Case, separators, lengths, the e-mail's last label, the IBAN's country
 check digits, and whether a card number's check digit holds are kept.
 
 Parts of names get pronounceable surrogates of the same script and case; the ending goes
-with the gender of the title. These come from a keyed hash, so their distinctness is
+with the gender of the title; a name whose title tells none takes the one that another title
+in the document tells. These come from a keyed hash, so their distinctness is
 checked over all documents: names are gathered, and while two names share a surrogate or a
 surrogate is itself a name of the corpus, all are made one syllable longer.
 
@@ -40,12 +42,19 @@ DIGITS = re.compile(
       (?P<ipv4>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![0-9A-Za-z_]|\.\d))
     | (?P<card>(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![0-9A-Za-z_]))
     | (?P<ssn>\d{3}-\d{2}-\d{4}(?![0-9A-Za-z_-]))
-    | (?P<phone>(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9A-Za-z_]))
+    | (?P<phone>(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}
+        |\+\d{1,3}[ .-]\d(?:[ .-]?\d{2,4}){2,4}|\d{3}[ ]\d{3}[ ]\d{4}|0\d{1,4}[ /-]\d{5,8}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}[ ]\d{3,4}[ ]\d{3,4})(?![0-9A-Za-z_]))
     )""",
     re.X,
 )
 IPV6 = re.compile(r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:.])")
+#: An IBAN and what may follow it in capitals or digits; its end is found by ibans().
 IBAN = re.compile(r"(?<![0-9A-Za-z_])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z_])")
+# Lengths of IBANs by country; of other countries the longest with valid check digits is taken.
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}.items() for c in cs.split()}
 # Titles and introductions, with the gender that they tell (m, f or none).
 TITLES = {
     "Mr.": "m", "Mr": "m", "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Herrn": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
@@ -67,6 +76,38 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of all IBANs: of what IBAN finds, the part up to a word's end that has the country's length, or else the longest with valid check digits."""
+    found, m = [], IBAN.search(text)
+    while m:
+        ends = [e for e in range(m.end(), m.start() + 14, -1) if e == m.end() or text[e] == " "]
+        sized = [(e, e - m.start() - text.count(" ", m.start(), e)) for e in ends]
+        valid = [(n != IBAN_LENGTHS.get(m[0][:2], n), -e) for e, n in sized if 15 <= n <= 34 and iban_rest(text[m.start() : e]) == 1]
+        end = -min(valid)[1] if valid else m.start() + 1
+        found += [(m.start(), end)] if valid else []
+        m = IBAN.search(text, end)
+    return found
+
+
+def names(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, gender) of the names after titles, and of all other mentions of these names, which may overlap."""
+    titled = []
+    for m in NAMED.finditer(text):
+        for p in re.finditer(r"\S+", m[2]):
+            own = len(p[0]) - 2 if p[0].endswith(("'s", "’s")) and len(p[0]) > 3 else len(p[0])
+            titled.append((m.start(2) + p.start(), m.start(2) + p.start() + own, TITLES[m[1]]))
+    told: dict[str, str] = {}
+    for a, e, g in titled:
+        told[text[a:e].casefold()] = told.get(text[a:e].casefold()) or g
+    out = [(a, e, g or told[text[a:e].casefold()]) for a, e, g in titled]
+    if out:
+        forms = {f for a, e, _ in titled for f in (text[a:e], text[a:e].upper())}
+        bare = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f)))) + r")(?!\w)")
+        at = {a for a, _, _ in titled}
+        out += [(m.start(), m.end(), told[m[0].casefold()]) for m in bare.finditer(text) if m.start() not in at and m[0].casefold() in told]
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, gender) of all entities, in order and apart; of two that overlap the earlier, then the longer stays."""
     found = []
@@ -75,10 +116,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     found += [(m.start(), m.end(), m.lastgroup, "") for m in DIGITS.finditer(text)]
     if text.count(":") > 1:
         found += [(m.start(), m.end(), "ipv6", "") for m in IPV6.finditer(text) if sum(map(str.isdigit, m[0]))]
-    found += [(m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and iban_rest(m[0]) == 1]
+    found += [(a, e, "iban", "") for a, e in ibans(text)]
     if any(h in text for h in HINTS):
-        for m in NAMED.finditer(text):
-            found += [(m.start(2) + p.start(), m.start(2) + p.end(), "name", TITLES[m[1]]) for p in re.finditer(r"\S+", m[2])]
+        found += [(a, e, "name", g) for a, e, g in names(text)]
     out: list = []
     for e in sorted(found, key=lambda e: (e[0], -e[1])):
         if not out or e[0] >= out[-1][1]:

@@ -134,6 +134,23 @@ def test_pii(spark):
     assert pii.with_surrogates(docs(spark, [])).count() == 0
 
 
+def test_pii_is_whole():
+    spans = lambda t: [(t[a:b], kind) for a, b, kind, _ in pii.entities(t)]
+    for iban in ("BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for after in ("", " EUR 50", " BIC", " BIC COBADEFF 2024", " 1234", " bank"):
+            assert spans(f"to {iban}{after}") == [(iban, "iban")], iban + after
+        assert spans(f"{iban} DE89 3704 0044 0532 0130 00") == [(iban, "iban"), ("DE89 3704 0044 0532 0130 00", "iban")]
+        assert pii.iban_rest(pii.of_iban(pii.KEY, iban)) == 1
+    for phone in ("+33 1 23 45 67 89", "555 123 4567", "030 1234567", "01 23 45 67 89", "020 7946 0958", "+1 (743) 555-3824", "555-123-4567"):
+        assert spans(f"call {phone}, now") == [(phone, "phone")] and pii.of_phone(pii.KEY, phone) != phone
+    for clean in ("100 000 rows", "of 01-02-2023 12:30", "2023 01 02", "3.14 and 1 000 000 or 12 345 678", "BE68 5390 0754 7035 EUR"):
+        assert spans(clean) == [], clean
+    new, kinds = pii.replaced("Smith came. Dr. Smith met Mr. Smith's son; SMITH left, Smith too. Smithers and a smith stayed with Mrs. Ivanova.")
+    assert kinds == ["name"] * 6 and "Smithers and a smith" in new
+    first = new.split()[0]
+    assert new.startswith(f"{first} came. Dr. {first} met Mr. {first}'s son; {first.upper()} left, {first} too.") and first != "Smith"
+
+
 def brute_classes(rows):
     sets = []
     for _, t in rows:
