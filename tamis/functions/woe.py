@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMOOTHING = 0.5
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
+#: Types that are analysed as numbers; decimals are cast to double.
+NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def quoted(name: str) -> Column:
@@ -62,3 +63,8 @@ def numeric_columns(df: DataFrame, leave: tuple[str | None, ...] = ()) -> list[s
 
 def text_columns(df: DataFrame, leave: tuple[str | None, ...] = ()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in leave]
+
+
+def left_out(df: DataFrame, leave: tuple[str | None, ...] = ()) -> list[str]:
+    """Columns of other types, like booleans, dates and arrays."""
+    return [f.name for f in df.schema if not isinstance(f.dataType, (*NUMERIC, T.StringType)) and f.name not in leave]

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ReduceConfig
-from ..functions.woe import bin_statistics, iv, numeric_columns, text_columns, woe
+from ..functions.woe import bin_statistics, iv, left_out, numeric_columns, text_columns, woe
 from .binning import cart_nodes, cart_prebins, min_rows, quantile_prebins
-from .histogram import histogram, long_form, with_running
+from .histogram import histogram, kept, long_form, small, with_running
 from .merge import merged
 
 LEAST_ROWS, LEAST_VALUES = 5, 10
@@ -80,22 +80,21 @@ NUMERIC_BINS = ["feature", "bin", "lower", "upper", "events", "non_events", "woe
 
 
 def numeric_features(df: DataFrame, features: list[str], c: ReduceConfig, t: Totals, ties: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features: feature, iv, gini), bins and missing bins of numeric features."""
-    hist = histogram(df, features, "double").persist()
-    enough = hist.where("value is not null").groupBy("feature").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST_VALUES).select("feature")
-    known = hist.where("value is not null").join(F.broadcast(enough), "feature")
-    if c.strategy == "cart":
-        pre = cart_prebins(known, c.prebins, min_rows(t.rows, c.cart_min_bin_pct))
-    else:
-        keep = [x for x in ties if x not in features] if ties else []
-        rows = long_form(df, features, "double", *keep).join(F.broadcast(enough), "feature")
-        pre = quantile_prebins(rows, c.prebins, [*keep, "y", "w"])
-    bins = bin_statistics(with_totals(merged(pre, c.num_bins, t.events, t.non_events, c.solver if c.use_solver else None), t)).select(NUMERIC_BINS)
-    missing = missing_bins(hist, t)
-    groups = encoded(hist, bins).unionByName(missing.join(F.broadcast(enough), "feature").select("feature", F.col("woe").alias("score"), "events", "non_events"))
-    every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    out = every.join(summed(bins, missing), "feature", "left").join(gini_of(groups), "feature", "left")
-    return out.select("feature", F.coalesce("iv", F.lit(0.0)).alias("iv"), F.coalesce("gini", F.lit(0.0)).alias("gini")), bins, missing
+    """(features: feature, iv, gini), bins and missing bins of numeric features, all held by the driver."""
+    with kept(histogram(df, features, "double")) as (hist,):
+        enough = F.broadcast(small(hist.where("value is not null").groupBy("feature").agg(F.sum("rows").alias("rows")).where(F.col("rows") >= LEAST_VALUES).select("feature")))
+        known = hist.where("value is not null").join(enough, "feature")
+        if c.strategy == "cart":
+            pre = cart_prebins(known, c.prebins, min_rows(t.rows, c.cart_min_bin_pct))
+        else:
+            keep = [x for x in ties if x not in features] if ties else []
+            pre = quantile_prebins(known, long_form(df, features, "double", *keep).join(enough, "feature"), c.prebins, keep)
+        bins = small(bin_statistics(with_totals(merged(pre, c.num_bins, t.events, t.non_events, c.solver if c.use_solver else None), t)).select(NUMERIC_BINS))
+        missing = small(missing_bins(hist, t))
+        groups = encoded(hist, bins).unionByName(missing.join(enough, "feature").select("feature", F.col("woe").alias("score"), "events", "non_events"))
+        every = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+        out = every.join(summed(bins, missing), "feature", "left").join(gini_of(groups), "feature", "left")
+        return small(out.select("feature", F.coalesce("iv", F.lit(0.0)).alias("iv"), F.coalesce("gini", F.lit(0.0)).alias("gini"))), bins, missing
 
 
 def folded(hist: DataFrame, least: int) -> DataFrame:
@@ -106,26 +105,22 @@ def folded(hist: DataFrame, least: int) -> DataFrame:
     return out.where("not is_other or events + non_events > 0")
 
 
-def ranked(categories: DataFrame) -> DataFrame:
-    """Adds rank, from 1 by (event rate, name), and pseudo-rows: one for each class present."""
-    e, n = F.col("events"), F.col("non_events")
-    rate = F.coalesce(F.try_divide(e, e + n), F.lit(0.0))
-    df = categories.withColumns({"rate": rate, "one": F.lit(1)})
-    return with_running(df, "rate", ["rate", "category"], ["one"]).withColumnRenamed("run_one", "rank").drop("one")
-
-
 def categorical_bins(hist: DataFrame, c: ReduceConfig, t: Totals) -> DataFrame:
     """(feature, bin, categories, events, non_events): one a category, or CART groups of neighbours by event rate, then OTHER."""
     cats = folded(hist, c.min_category_samples)
     if c.strategy != "cart":
         return cats.select("feature", "category", "is_other", F.array("category").alias("categories"), "events", "non_events")
-    own = ranked(cats.where("not is_other")).persist()
-    pseudo = (F.col("events") > 0).cast("int") + (F.col("non_events") > 0).cast("int")
-    nodes = cart_nodes(own.select("feature", F.col("rank").cast("double").alias("value"), "events", "non_events", pseudo.alias("rows")), c.num_bins, 1)
-    ranges = own.sparkSession.createDataFrame([(x.feature, x.low, x.high) for x in nodes], "feature string, low double, high double")
-    inside = own.join(F.broadcast(ranges), "feature").where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
-    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"])
-    groups = inside.groupBy("feature", "low").agg(names.alias("categories"), F.sum("events").alias("events"), F.sum("non_events").alias("non_events")).where("events + non_events > 0")
+    rate = F.coalesce(F.try_divide(F.col("events"), F.col("events") + F.col("non_events")), F.lit(0.0))
+    # rank, from 1 by (event rate, name)
+    with with_running(cats.where("not is_other").withColumns({"rate": rate, "one": F.lit(1)}), ["rate", "category"], ["one"]) as running:
+        own = running.withColumnRenamed("run_one", "rank")
+        # pseudo-rows: one for each class present
+        pseudo = (F.col("events") > 0).cast("int") + (F.col("non_events") > 0).cast("int")
+        nodes = cart_nodes(own.select("feature", F.col("rank").cast("double").alias("value"), "events", "non_events", pseudo.alias("rows")), c.num_bins, 1)
+        ranges = own.sparkSession.createDataFrame([(x.feature, x.low, x.high) for x in nodes], "feature string, low double, high double")
+        inside = own.join(F.broadcast(ranges), "feature").where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
+        names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "category"))), lambda x: x["category"])
+        groups = small(inside.groupBy("feature", "low").agg(names.alias("categories"), F.sum("events").alias("events"), F.sum("non_events").alias("non_events")).where("events + non_events > 0"))
     other = cats.where("is_other").select("feature", F.lit(True).alias("is_other"), F.array("category").alias("categories"), "events", "non_events")
     return groups.select("feature", F.lit(False).alias("is_other"), "categories", "events", "non_events").unionByName(other).withColumn("category", F.array_join("categories", ","))
 
@@ -134,9 +129,10 @@ CATEGORY_BINS = ["feature", "category", "categories", "is_other", "events", "non
 
 
 def categorical_features(df: DataFrame, features: list[str], c: ReduceConfig, t: Totals) -> tuple[DataFrame, DataFrame, DataFrame]:
-    hist = histogram(df, features, "string").persist()
-    bins = bin_statistics(with_totals(categorical_bins(hist, c, t), t)).select(CATEGORY_BINS)
-    missing = missing_bins(hist, t)
+    """As numeric_features, for text; the bins of a feature are as many as its frequent categories."""
+    with kept(histogram(df, features, "string")) as (hist,):
+        bins = small(bin_statistics(with_totals(categorical_bins(hist, c, t), t)).select(CATEGORY_BINS))
+        missing = small(missing_bins(hist, t))
     groups = bins.select("feature", F.col("woe").alias("score"), "events", "non_events").union(missing.select("feature", F.col("woe").alias("score"), "events", "non_events"))
     out = summed(bins, missing).join(gini_of(groups), "feature", "left")
     return out.select("feature", "iv", F.coalesce("gini", F.lit(0.0)).alias("gini")), bins, missing
@@ -169,6 +165,8 @@ def analyze_features(df: DataFrame, c: ReduceConfig, *, ties: list[str] | None =
     leave, t = (c.target, c.weight, "__y", "__w"), totals(df)
     numeric, text = numeric_columns(df, leave), text_columns(df, leave)
     skipped: list[str] = []
+    if other := left_out(df, leave):
+        warnings.warn(f"neither numeric nor text, so not analysed: {', '.join(other)}", stacklevel=2)
     if t.classes < 2 or t.valid < LEAST_ROWS:
         skipped += numeric
         numeric = []

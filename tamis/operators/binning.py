@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.woe import gini_impurity
-from .histogram import with_running
+from .histogram import small, with_running
 
 INF = float("inf")
 
@@ -69,13 +69,12 @@ def cart_nodes(hist: DataFrame, max_bins: int, min_rows: int | dict[str, int]) -
     A round splits all open nodes of all features. After a split the left half gets half
     of the budget left (rounded down), the right half the rest.
     """
-    running = with_running(hist, "value", ["value"], ["events", "non_events", "rows"]).persist()
-    tops = running.groupBy("feature").agg(F.sum("events").alias("e"), F.sum("non_events").alias("n"), F.sum("rows").alias("r")).collect()
-    open_ = [Node(t.feature, -INF, INF, (0.0, 0.0, 0), (t.e, t.n, t.r), max_bins - 1) for t in tops]
+    least = min_rows if isinstance(min_rows, int) else min(min_rows.values())
     done: list[Node] = []
-    try:
+    with with_running(hist.select("feature", "value", "events", "non_events", "rows"), ["value"], ["events", "non_events", "rows"]) as running:
+        tops = running.groupBy("feature").agg(F.sum("events").alias("e"), F.sum("non_events").alias("n"), F.sum("rows").alias("r")).collect()
+        open_ = [Node(t.feature, -INF, INF, (0.0, 0.0, 0), (t.e, t.n, t.r), max_bins - 1) for t in tops]
         while open_:
-            least = min_rows if isinstance(min_rows, int) else min(min_rows.values())
             tried = [x for x in open_ if x.budget > 0 and x.own[2] >= 2 * least]
             done += [x for x in open_ if not (x.budget > 0 and x.own[2] >= 2 * least)]
             if not tried:
@@ -92,8 +91,6 @@ def cart_nodes(hist: DataFrame, max_bins: int, min_rows: int | dict[str, int]) -
                 right = tuple(a - b for a, b in zip(x.own, left, strict=True))
                 after = tuple(a + b for a, b in zip(x.before, left, strict=True))
                 open_ += [Node(x.feature, x.low, s.value, x.before, left, rest // 2), Node(x.feature, s.value, x.high, after, right, rest - rest // 2)]
-    finally:
-        running.unpersist()
     return sorted(done, key=lambda x: (x.feature, x.low))
 
 
@@ -115,22 +112,36 @@ def with_upper(bins: DataFrame) -> DataFrame:
     return bins.select("feature", "bin", "lower", F.coalesce(nxt, F.lit(INF)).alias("upper"), "events", "non_events")
 
 
-def quantile_prebins(rows: DataFrame, prebins: int, ties: list[str]) -> DataFrame:
-    """As cart_prebins, from rows (feature, value, y, w, *ties): chunks of ceil(n / prebins) rows in order of value.
+def quantile_prebins(hist: DataFrame, rows: DataFrame, prebins: int, ties: list[str]) -> DataFrame:
+    """As cart_prebins: chunks of ceil(n / prebins) rows in order of value.
 
-    Rows of equal value are told apart by ``ties``. Row numbers come from ranges of values,
-    so a feature is never sorted in one task.
+    hist: the histogram of rows (feature, value, y, w, *ties). Its running counts say which
+    values lie in one chunk as a whole. Only the rows of the others, at most prebins - 1
+    values a feature, are looked at one by one: they are told apart by ``ties``, then by y
+    and w, and rows equal in all of these count as one with a number.
     """
-    ranked = with_running(rows.where("value is not null").withColumn("one", F.lit(1)), "value", ["value", *ties], ["one"])
-    n = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    chunk = F.ceil(F.col("n") / prebins)
-    sums = (
-        ranked.join(F.broadcast(n), "feature")
-        .withColumn("bin", F.floor((F.col("run_one") - 1) / chunk).cast("int"))
-        .groupBy("feature", "bin")
-        .agg(F.min("value").alias("lower"), F.sum(F.col("y") * F.col("w")).alias("events"), F.sum((1 - F.col("y")) * F.col("w")).alias("non_events"))
-    )
-    return with_upper(sums)
+    known = hist.where("value is not null").select("feature", "value", "events", "non_events", "rows")
+    n = F.broadcast(known.groupBy("feature").agg(F.ceil(F.sum("rows") / prebins).alias("chunk")))
+    with with_running(known, ["value"], ["rows"]) as running:
+        placed = running.join(n, "feature").withColumns({"first": F.floor((F.col("run_rows") - F.col("rows")) / F.col("chunk")).cast("int"), "last": F.floor((F.col("run_rows") - 1) / F.col("chunk")).cast("int")})
+        whole = placed.where("first = last").groupBy("feature", F.col("first").alias("bin")).agg(F.min("value").alias("lower"), F.sum("events").alias("events"), F.sum("non_events").alias("non_events")).collect()
+        cut = small(placed.where("first < last").select("feature", "value", (F.col("run_rows") - F.col("rows")).alias("before"), "chunk"))
+    one = [*ties, "y", "w"]
+    groups = rows.join(F.broadcast(cut.select("feature", "value")), ["feature", "value"]).groupBy("feature", "value", *one).agg(F.count(F.lit(1)).alias("k"))
+    with with_running(groups, ["value", *one], ["k"]) as running:
+        # a value's counts go on from those before it: run_k less the least of its value, which is the first row's
+        spans = running.join(F.broadcast(running.groupBy("feature", "value").agg(F.min(F.col("run_k") - F.col("k")).alias("base"))), ["feature", "value"]).join(F.broadcast(cut), ["feature", "value"])
+        spans = spans.withColumn("end", F.col("before") + F.col("run_k") - F.col("base")).withColumn("start", F.col("end") - F.col("k"))
+        bins = F.sequence(F.floor(F.col("start") / F.col("chunk")), F.floor((F.col("end") - 1) / F.col("chunk")))
+        parts = spans.withColumn("bin", F.explode(bins)).withColumn("k", F.least("end", (F.col("bin") + 1) * F.col("chunk")) - F.greatest("start", F.col("bin") * F.col("chunk")))
+        y, w = F.col("y"), F.col("w") * F.col("k")
+        split = parts.groupBy("feature", F.col("bin").cast("int").alias("bin")).agg(F.min("value").alias("lower"), F.sum(y * w).alias("events"), F.sum((1 - y) * w).alias("non_events")).collect()
+    sums: dict[tuple[str, int], list] = {}
+    for r in [*whole, *split]:
+        at = sums.setdefault((r.feature, r.bin), [INF, 0.0, 0.0])
+        sums[r.feature, r.bin] = [min(at[0], r.lower), at[1] + r.events, at[2] + r.non_events]
+    made = hist.sparkSession.createDataFrame([(*k, *v) for k, v in sorted(sums.items())], "feature string, bin int, lower double, events double, non_events double")
+    return with_upper(made)
 
 
 def min_rows(n_rows: int, pct: float | None) -> int:

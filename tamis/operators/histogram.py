@@ -1,18 +1,37 @@
 """Value histograms and running sums, on which all binning stands.
 
 The histogram has one row for each feature and distinct value, made by partial and final
-aggregation. Running sums over it never put a whole feature in one task: values are cut
-into ranges at approximate quantiles, summed up by range, and only then inside each range.
+aggregation. Running sums over it never put a whole feature in one task: rows are dealt out
+by ranges of (feature, value), all features together, summed up inside each range, and only
+then moved by what the ranges before hold. The number of ranges is the session's number of
+shuffle partitions, so it grows with the cluster and not with the number of features.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.woe import quoted
 
-RANGES = 16
+
+@contextmanager
+def kept(*tables: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
+    """Tables that are cached inside the block and released behind it."""
+    held = [t.persist() for t in tables]
+    try:
+        yield tuple(held)
+    finally:
+        for t in held:
+            t.unpersist()
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A result of a few rows a feature, held by the driver: it needs no cached table any more."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def long_form(df: DataFrame, features: list[str], kind: str, *keep: str) -> DataFrame:
@@ -28,14 +47,27 @@ def histogram(df: DataFrame, features: list[str], kind: str) -> DataFrame:
     return long_form(df, features, kind).groupBy("feature", "value").agg(F.sum(y * w).alias("events"), F.sum((1 - y) * w).alias("non_events"), F.count(F.lit(1)).alias("rows"))
 
 
-def with_running(df: DataFrame, key: str, order: list[str], sums: list[str]) -> DataFrame:
-    """Adds run_<c>, the running sum of each c within a feature, in ``order``; ``key`` is its numeric leading column."""
-    cuts = df.groupBy("feature").agg(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 1000).alias("cuts"))
-    ranged = df.join(F.broadcast(cuts), "feature").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")
-    parts = ranged.groupBy("feature", "range").agg(*[F.sum(c).alias(f"part_{c}") for c in sums])
-    ahead = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most RANGES rows a feature
-    base = parts.select("feature", "range", *[F.coalesce(F.sum(f"part_{c}").over(ahead), F.lit(0)).alias(f"base_{c}") for c in sums])
-    inside = Window.partitionBy("feature", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ranged.join(F.broadcast(base), ["feature", "range"])
-    return run.withColumns({f"run_{c}": F.sum(c).over(inside) + F.col(f"base_{c}") for c in sums}).drop("range", *[f"base_{c}" for c in sums])
+@contextmanager
+def with_running(df: DataFrame, order: list[str], sums: list[str]) -> Iterator[DataFrame]:
+    """df and run_<c>, the running sum of each c within a feature, in ``order``; cached inside the block.
+
+    What the ranges hold is collected: a row for each range and each feature that begins in it.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(n, "feature", *order).withColumn("__range", F.spark_partition_id())
+    inside = Window.partitionBy("feature", "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # cached: a second evaluation may deal the rows out by other ranges
+    with kept(dealt.withColumns({f"run_{c}": F.sum(c).over(inside) for c in sums})) as (run,):
+        parts = run.groupBy("feature", "__range").agg(*[F.sum(c).alias(c) for c in sums]).collect()
+        so_far: dict[str, list] = {}
+        base = []
+        for p in sorted(parts, key=lambda p: (p.feature, p["__range"])):
+            at = so_far.setdefault(p.feature, [0] * len(sums))
+            base.append((p.feature, p["__range"], *at))
+            so_far[p.feature] = [x + p[c] for x, c in zip(at, sums, strict=True)]
+        kind = {c: dict(run.dtypes)[f"run_{c}"] for c in sums}
+        rows = [(f, k, *(float(x) if kind[c] == "double" else x for x, c in zip(at, sums, strict=True))) for f, k, *at in base]
+        bases = spark.createDataFrame(rows, ", ".join(["feature string", "__range int", *(f"base_{c} {kind[c]}" for c in sums)]))
+        moved = run.join(F.broadcast(bases), ["feature", "__range"])
+        yield moved.withColumns({f"run_{c}": F.col(f"run_{c}") + F.col(f"base_{c}") for c in sums}).drop("__range", *[f"base_{c}" for c in sums])

@@ -118,7 +118,8 @@ def gini_categorical(spark, sf_dir):
 
 def _prebins(spark, sf_dir):
     df = lineitem(spark, sf_dir)
-    return binning.quantile_prebins(histogram.long_form(df, LINE, "double", *TIES), 20, [*TIES, "y"])
+    with histogram.kept(histogram.histogram(df, LINE, "double")) as (hist,):
+        return binning.quantile_prebins(hist, histogram.long_form(df, LINE, "double", *TIES), 20, TIES)
 
 
 def quantile_prebins(spark, sf_dir):
@@ -148,9 +149,9 @@ def gini_impurity_by_quantity(spark, sf_dir):
 
 def best_split(spark, sf_dir):
     hist = histogram.histogram(lineitem(spark, sf_dir), LINE, "double")
-    running = histogram.with_running(hist, "value", ["value"], ["events", "non_events", "rows"])
-    tops = [binning.Node(r.feature, -binning.INF, binning.INF, (0.0, 0.0, 0), (r.e, r.n, r.r), 1) for r in hist.groupBy("feature").agg(F.sum("events").alias("e"), F.sum("non_events").alias("n"), F.sum("rows").alias("r")).collect()]
-    found = binning.best_splits(running, tops, 5)
+    with histogram.with_running(hist, ["value"], ["events", "non_events", "rows"]) as running:
+        tops = [binning.Node(r.feature, -binning.INF, binning.INF, (0.0, 0.0, 0), (r.e, r.n, r.r), 1) for r in running.groupBy("feature").agg(F.sum("events").alias("e"), F.sum("non_events").alias("n"), F.sum("rows").alias("r")).collect()]
+        found = histogram.small(binning.best_splits(running, tops, 5))
     return found.select("feature", F.round("value", 6).alias("value"), F.round("gain", 9).alias("gain"), F.col("lr").cast("long").alias("rows_left"))
 
 
