@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def prepare(spark: SparkSession) -> None:
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     sc.setCheckpointDir(shared_dir(spark))
-    # whole texts may be long: smaller batches bound what a worker holds
+    # whole texts may be long: smaller batches bound what a worker holds, besides Spark's bound on their bytes
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(rows)) > BATCH_ROWS or int(spark.conf.get(rows)) <= 0:
         spark.conf.set(rows, BATCH_ROWS)
@@ -42,6 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="tamis-"))
     return _local[0]
@@ -52,12 +56,37 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """What runs inside leaves no shuffle files behind; the setting is the user's again afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def written(df: DataFrame, path: str, *parts: str) -> DataFrame:
+    """Writes a Parquet table and reads it back; the shuffles that made it are freed."""
+    with shuffles_freed(df.sparkSession):
+        (df.write.partitionBy(*parts) if parts else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder; it survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, fresh_dir(df.sparkSession, name))
+
+
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Deletes stored tables (or folders) that nothing reads any more."""
+    sc = spark.sparkContext
+    for t in tables:
+        for path in {t} if isinstance(t, str) else {f.rpartition("/")[0] for f in t.inputFiles()}:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def put(path: str, data: bytes) -> None:
@@ -74,6 +103,13 @@ def fetch(path: str) -> bytes:
         return f.readall()
 
 
+def fetch_table(path: str) -> pa.Table | None:
+    """A worker's way to a Parquet folder of the shared folder; None if it isn't there."""
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
+
+
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions, which the cluster sizes by its input."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -100,6 +136,24 @@ def batch(names: list[str], *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=names)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of df has it in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
+def schema_of(df: DataFrame) -> str:
+    """The columns of df as DDL, whatever their names."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def named(name: str):
+    """A column by its literal name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_bytes(name: str = "text"):
     """A text column as UTF-8 bytes: no decoding between the JVM and Python."""
     return F.col(name).cast("binary").alias(name)
