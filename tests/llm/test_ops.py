@@ -60,14 +60,14 @@ def test_language(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.trained(df)
     got = {r.doc_id: r for r in language.predictions(df, model).collect()}
-    assert all(got[i]._lang_pred == ("en" if i % 2 else "de") and 0 <= got[i]._score <= 1 for i in range(300))
-    assert got[900]._lang_pred == got[901]._lang_pred == "und" and got[902]._lang_pred == "en"
+    assert all(got[i].lang_pred == ("en" if i % 2 else "de") and 0 <= got[i].score <= 1 for i in range(300))
+    assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "en"
     held = {r.doc_id: r.h for r in df.select("doc_id", language.held_out().alias("h")).collect()}
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(300))
     assert language.known_language(df).count() == len(rows) - 2 and language.known_language(df).columns == df.columns
     assert language.predictions(df.limit(0), language.trained(df.limit(0))).count() == 0
     one = df.where("lang = 'en'")
-    assert {r._lang_pred for r in language.predictions(one, language.trained(one)).collect()} == {"en", "und"}
+    assert {r.lang_pred for r in language.predictions(one, language.trained(one)).collect()} == {"en", "und"}
     codes = language.codewords(20)
     assert min((codes[i] != codes[j]).sum() for i in range(20) for j in range(i)) >= 10
 
@@ -91,25 +91,75 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_token_files(token_files.write_token_files(docs(spark, []), str(tmp_path))).count() == 0
 
 
-def test_substring_dedup(spark):
-    rows = corpus()
+def brute_repeats(rows, k=13):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
     for i, w in words:
-        for k in range(len(w) - 12):
+        for p in range(len(w) - k + 1):
             if i is not None:
-                first[tuple(w[k : k + 13])] = min(i, first.get(tuple(w[k : k + 13]), 1 << 60))
-    want = []
+                first[tuple(w[p : p + k])] = min(i, first.get(tuple(w[p : p + k]), 1 << 60))
+    out = []
     for i, w in words:
         keep = [True] * len(w)
-        for k in range(len(w) - 12):
-            if i is not None and first[tuple(w[k : k + 13])] < i:
-                keep[k : k + 13] = [False] * 13
+        for p in range(len(w) - k + 1):
+            if i is not None and first[tuple(w[p : p + k])] < i:
+                keep[p : p + k] = [False] * k
         kept = b" ".join(x for x, y in zip(w, keep) if y)
-        want.append((i, len(w), len(w) - sum(keep), hashlib.sha256(kept).hexdigest()))
-    got = [tuple(r) for r in substring.without_repeats(docs(spark, rows)).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+        out.append((i, len(w), len(w) - sum(keep), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeats(df, **how):
+    return sorted((tuple(r) for r in substring.without_repeats(df, **how).collect()), key=str)
+
+
+def test_substring_dedup(spark):
+    rows = corpus()
+    assert repeats(docs(spark, rows)) == brute_repeats(rows)
+    assert repeats(docs(spark, rows).repartition(3)) == brute_repeats(rows)  # no order of its own: stored first
+    kept = {(r.doc_id, r.kept_sha256, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring.without_repeats(docs(spark, rows), with_text=True).collect()}
+    assert all(a == b for _, a, b in kept)
     assert substring.without_repeats(docs(spark, [])).count() == 0
+    assert repeats(docs(spark, rows[:3])) == brute_repeats(rows[:3])
+
+
+def with_one_anchor(seed=3):
+    """Documents with one common anchor, many copies of a passage, and repeated rows."""
+    rng, rows = random.Random(seed), []
+    some = lambda n: " ".join(f"u{rng.randint(0, 300)}" for _ in range(n))
+    passage = " ".join(f"p{j}" for j in range(17))
+    for d in range(60):
+        t = some(rng.randint(5, 60)) + " zz yy xx ww vv " + some(30)
+        if d % 3 == 0:
+            t += " " + passage + " " + some(5)
+        if d % 7 == 0 and rows:
+            t += " " + rng.choice(rows)[1]
+        rows.append((d, t))
+    return rows + [(10, rows[5][1]), (10, rows[5][1]), (None, rows[3][1]), (61, None), (62, ""), (3, rows[8][1]), (70, rows[20][1]), (71, rows[20][1]), (-5, rows[30][1])]
+
+
+@pytest.mark.parametrize("how", [{"hash_bits": 8}, {"hash_bits": 4}, {"hot": 2}, {"hot": 2, "hash_bits": 6}])
+def test_substring_dedup_where_hashes_meet(spark, monkeypatch, how):
+    monkeypatch.setattr(substring, "SWEEP", 20)
+    monkeypatch.setattr(substring, "AGAIN", 50)
+    rows = with_one_anchor()
+    assert repeats(docs(spark, rows), **how) == brute_repeats(rows)
+
+
+def test_substring_dedup_of_long_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randint(0, 10**5)}" for _ in range(300_000))
+    rows = [(1, "a b " + long[:1_000_000]), (2, long), (3, "x" * 3_000_000), (4, " " * 1_000_000)]
+    assert repeats(docs(spark, rows)) == brute_repeats(rows)
+    monkeypatch.setattr(substring, "PIECE", 100)
+    text = rows[0][1][:5000].encode() + b" \x0b\t end"
+    assert b"".join(substring.pieces(text)) == text and [w for p in substring.pieces(text) for w in p.split()] == text.split()
+
+
+def test_paths_are_contracted(spark):
+    edges = [(9, 0, 0, 5, 1, 0, 10), (9, 0, 5, 2, 1, 0, 15), (9, 0, 7, 1, 1, 0, 17), (9, 0, 8, 3, 2, 0, 0), (9, 0, 20, 4, 1, 0, 30), (9, 0, 5, 2, 1, 0, 15), (8, 0, 5, 2, 1, 0, 15), (9, 0, 0, 3, 3, 0, 0), (9, 0, 1, 4, 3, 0, 1)]
+    got = {tuple(r) for r in substring.compacted(spark.createDataFrame(edges, substring.ANSWERS)).collect()}
+    assert got == {(9, 0, 0, 8, 1, 0, 10), (9, 0, 8, 3, 2, 0, 0), (9, 0, 20, 4, 1, 0, 30), (8, 0, 5, 2, 1, 0, 15), (9, 0, 0, 5, 3, 0, 0)}
 
 
 def test_pii(spark):
