@@ -2,20 +2,27 @@
 
 Unit vectors are projected on ``DIMS`` Gaussian directions. For two vectors at distance
 d, the squared distance of their projections over d*d follows a chi-square law of DIMS
-degrees. A query takes projected neighbours in ascending distance, verifies them with the
-original vectors, and stops once a true neighbour, nearer than its k-th best, would have
-been met already with probability ``STOP``.
+degrees. A query takes the leaves of a kd-tree of projections from near to far, verifies
+their vectors by their cosines, and leaves out what lies so far that a true neighbour,
+nearer than its k-th best, would have been met already with probability ``STOP``.
 
 A top kd-tree, fitted to at most ``SAMPLE`` projections, deals all vectors out to blocks;
 each block has a kd-tree of its own leaves. A query searches its own block first; its
 k-th distance there then says, by the same test, which other blocks it has to visit.
+Queries that visit a leaf are verified together, by one matrix product that picks
+candidates; the scores of candidates are then summed in double precision, one by one.
+What can be left out depends on the vectors: with clusters most leaves, among evenly
+spread ones, whose neighbours are hardly nearer than the rest, none. ``verified`` tells.
 
 Equal vectors are collapsed to the k + 1 of least id, which loses no answer as ties go to
 smaller ids. Blocks with more than ``BLOCK_MAX`` vectors are split by id, and large query
 sets of a block into parts, so no group is unbounded.
 
 Vectors null, zero or with null or non-finite components take no part, nor do rows with
-null id or of another length than most. A repeated id with the same vector counts once.
+null id or of another length than most (the shorter on ties). Of the rows of one id the one
+with the least vector (compared component by component) stands, as query and as candidate.
+An empty table gives an empty result; with fewer candidates than k all are returned. Only
+vec_id and embedding are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -31,15 +38,19 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, prepare, stored, table
 
-DIMS, STOP, LEAF = 6, 0.98, 64
-SAMPLE, BLOCK_ROWS, BLOCK_MAX, QUERY_MAX, MAX_DEPTH = 20_000, 8_000, 40_000, 20_000, 12
+DIMS, STOP, LEAF = 8, 0.98, 256
+SAMPLE, BLOCK_ROWS, BLOCK_MAX, QUERY_MAX, MAX_DEPTH = 20_000, 8_000, 40_000, 4_000, 12
 SEED = 20_240
+#: Ranks of a query's leaves after which its k-th distance is tested anew.
+WAVES = [0, 1, 4, 16, 1 << 30]
+#: What a product of matrices may differ by from a score summed in order.
+MARGIN = 1e-9
 
 
 def chi_square(x: np.ndarray) -> np.ndarray:
     """The chi-square distribution function of DIMS (even) degrees of freedom."""
-    h = x / 2
-    return 1 - np.exp(-np.minimum(h, 700)) * sum(h**j / math.factorial(j) for j in range(DIMS // 2))
+    h = np.minimum(x / 2, 700)
+    return 1 - np.exp(-h) * sum(h**j / math.factorial(j) for j in range(DIMS // 2))
 
 
 @functools.cache
@@ -97,10 +108,13 @@ class Cells:
             todo += [(a, at[left]), (b, at[~left])]
         return out
 
-    def bounds2(self, point: np.ndarray) -> np.ndarray:
-        """Squared distances of the leaves' boxes from a point."""
-        d = np.maximum(0, np.maximum(self.low - point, point - self.high))
-        return (d * d).sum(axis=1)
+    def bounds2(self, points: np.ndarray) -> np.ndarray:
+        """(points, leaves): squared distances of points from the leaves' boxes."""
+        out = np.zeros((len(points), len(self.low)))
+        for axis in range(points.shape[1]):
+            x = points[:, axis, None]
+            out += np.maximum(0, np.maximum(self.low[:, axis] - x, x - self.high[:, axis])) ** 2
+        return out
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -109,7 +123,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
     length = rows.groupBy(F.size("v").alias("m")).count().orderBy(F.desc("count"), "m").first()
-    return rows.where(F.size("v") == (length.m if length else 0))
+    rows = rows.where(F.size("v") == (length.m if length else 0))
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, "id", "left_anti").union(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
 
 
 def units(v: np.ndarray) -> np.ndarray:
@@ -132,35 +150,61 @@ def projected(rows: DataFrame, top: Cells | None) -> DataFrame:
     return map_arrow(rows, make, "id long, v array<double>, p array<double>, block long")
 
 
-def search_block(k: int, key, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """The k nearest of a block for each query, and the k-th squared distance."""
-    names = ["query_id", "vec_id", "score", "kth2"]
+def best_of(k: int, query: np.ndarray, score: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Places of the k best of each query, ties to smaller ids."""
+    order = np.lexsort((near, -score, query))
+    q = query[order]
+    first = np.concatenate(([True], q[1:] != q[:-1])) if len(q) else np.zeros(0, bool)
+    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    return order[rank < k]
+
+
+def search_block(k: int, data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    """The k nearest of a block for each query, the k-th squared distance, and in one row of each how many were verified."""
     if not len(asked) or not len(data):
-        empty = pd.DataFrame({"query_id": asked["id"] if len(asked) else [], "vec_id": -1, "score": np.nan, "kth2": np.inf})
-        return empty.astype({"query_id": "int64", "vec_id": "int64", "score": float, "kth2": float})[names]
-    data = data.drop_duplicates("id")
+        out = pd.DataFrame({"query_id": asked["id"] if len(asked) else [], "vec_id": -1, "score": np.nan, "kth2": np.inf, "verified": 0})
+        return out.astype({"query_id": "int64", "vec_id": "int64", "score": float, "kth2": float, "verified": "int64"})
     ids, v, p = data["id"].to_numpy(), np.stack(data["v"]), np.stack(data["p"])
-    cells = Cells(p, LEAF)
-    norm = np.sqrt((v * v).sum(axis=1))
-    out = []
-    for qid, qv, qp in zip(asked["id"], asked["v"], asked["p"], strict=True):
-        bound = cells.bounds2(qp)
-        qn, kth2, found = math.sqrt(float((qv * qv).sum())), np.inf, (np.zeros(0), np.zeros(0, np.int64))
-        for leaf in np.argsort(bound, kind="stable"):
-            if enough(bound[leaf], kth2):
-                break
-            at = cells.members[leaf]
-            at = at[ids[at] != qid]
+    qids, qv, qp = asked["id"].to_numpy(), np.stack(asked["v"]), np.stack(asked["p"])
+    cells, u, qu = Cells(p, LEAF), units(v), units(qv)
+    norm, qnorm = np.sqrt((v * v).sum(axis=1)), np.sqrt((qv * qv).sum(axis=1))
+    bound = cells.bounds2(qp)
+    rank = bound.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    kth = np.full(len(qids), -np.inf)
+    verified = np.zeros(len(qids), np.int64)
+    found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)  # query, score, place in data
+    for first, behind in zip(WAVES, WAVES[1:]):
+        if first >= len(cells.members):
+            break
+        new = [found]
+        kth2 = np.where(np.isinf(kth), np.inf, np.maximum(0.0, 2 - 2 * kth))
+        kth2[kth2 < 1e-12] = 0.0
+        go = (rank >= first) & (rank < behind) & ~enough(bound, kth2[:, None])
+        for leaf in np.flatnonzero(go.any(axis=0)):
+            on, at = np.flatnonzero(go[:, leaf]), cells.members[leaf]
+            near = qu[on] @ u[at].T
+            near[qids[on][:, None] == ids[at]] = -np.inf
+            verified[on] += len(at)
+            least = np.partition(near, -k, axis=1)[:, -k] if len(at) >= k else np.full(len(on), -np.inf)
+            r, c = np.nonzero((near >= np.maximum(kth[on], least)[:, None] - MARGIN) & (near > -np.inf))
+            q, c = on[r], at[c]
             # summed row by row in one order, so equal vectors have equal scores
-            score = np.concatenate((found[0], (v[at] * qv).sum(axis=1) / (norm[at] * qn)))
-            near = np.concatenate((found[1], ids[at]))
-            best = np.lexsort((near, -score))[:k]
-            found = score[best], near[best]
-            if len(best) == k:
-                kth2 = max(0.0, 2 - 2 * float(found[0][-1]))
-                kth2 = 0.0 if kth2 < 1e-12 else kth2
-        out.append(pd.DataFrame({"query_id": qid, "vec_id": found[1], "score": found[0], "kth2": kth2}) if len(found[0]) else pd.DataFrame({"query_id": [qid], "vec_id": [-1], "score": [np.nan], "kth2": [np.inf]}))
-    return pd.concat(out).astype({"query_id": "int64", "vec_id": "int64"})[names]
+            score = (v[c] * qv[q]).sum(axis=1) / (norm[c] * qnorm[q])
+            new.append((q, score, c))
+            kth[on] = np.maximum(kth[on], least - MARGIN)
+        found = tuple(np.concatenate(x) for x in zip(*new, strict=True))
+        keep = best_of(k, found[0], found[1], ids[found[2]])
+        found = tuple(x[keep] for x in found)
+        full = np.bincount(found[0], minlength=len(qids)) >= k
+        worst = np.full(len(qids), np.inf)
+        np.minimum.at(worst, found[0], found[1])
+        kth[full] = worst[full]
+    kth2 = np.where(np.bincount(found[0], minlength=len(qids)) >= k, np.maximum(0.0, 2 - 2 * kth), np.inf)
+    kth2[kth2 < 1e-12] = 0.0
+    q, score, c = found
+    out = pd.DataFrame({"query_id": qids[q], "vec_id": ids[c], "score": score, "kth2": kth2[q], "verified": 0})
+    told = pd.DataFrame({"query_id": qids, "vec_id": -1, "score": np.nan, "kth2": kth2, "verified": verified})
+    return pd.concat([out, told])
 
 
 def searched(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -173,43 +217,42 @@ def searched(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     right = queries.join(F.broadcast(sizes), "block").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("shard", some("shards"))
     cols = ["block", "shard", "part", "id", "v", "p"]
     work = left.select(*cols).groupBy("block", "shard", "part").cogroup(right.select(*cols).groupBy("block", "shard", "part"))
-    return work.applyInPandas(lambda key, a, b: search_block(k, key, a, b), "query_id long, vec_id long, score double, kth2 double")
+    return work.applyInPandas(lambda a, b: search_block(k, a, b), "query_id long, vec_id long, score double, kth2 double, verified long")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest by cosine of the rows where is_query (over ``id``) holds."""
+    """query_id, rank, vec_id, score: the k nearest by cosine of the rows where is_query (over ``id``) holds; verified counts the vectors compared with the query."""
     spark = vectors.sparkSession
     prepare(spark)
     rows = usable(vectors)
     same = Window.partitionBy("v").orderBy("id")
-    kept = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= k + 1).select("id", "v")
+    kept = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).select("id", "v")
     sample = projected(rows.orderBy(F.xxhash64("id")).limit(SAMPLE), None).select("p").toPandas()
     n = rows.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / BLOCK_ROWS))))
     top = Cells(np.stack(sample["p"]), 1, depth) if len(sample) else Cells(np.zeros((0, DIMS)), 1, 0)
     data = stored(projected(kept, top), "ann-data")
-    queries = stored(projected(rows.where(is_query).dropDuplicates(["id"]), top), "ann-queries")
+    queries = stored(projected(rows.where(is_query), top), "ann-queries")
     first = stored(searched(data, queries, k), "ann-first")
     reach = first.groupBy(F.col("query_id").alias("id")).agg(F.min("kth2").alias("kth2"))
 
     def make():
         def each(b):
-            asked, block = [], []
-            kth = b.column(4).to_pylist()
-            for i, (p, own) in enumerate(zip(b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_pylist(), strict=True)):
-                go = np.flatnonzero(~enough(top.bounds2(p), np.inf if kth[i] is None else kth[i]))
-                go = go[go != own]
-                asked += [i] * len(go)
-                block += go.tolist()
-            at = pa.array(asked, pa.int64())
-            yield batch(["id", "v", "p", "block"], *(b.column(j).take(at) for j in range(3)), pa.array(block, pa.int64()))
+            p = np.stack(b.column(2).to_numpy(zero_copy_only=False))
+            own, kth = b.column(3).to_numpy(), b.column(4).fill_null(np.inf).to_numpy(zero_copy_only=False)
+            go = ~enough(top.bounds2(p), kth[:, None])
+            go[np.arange(len(own)), own] = False
+            asked, block = np.nonzero(go)
+            yield batch(["id", "v", "p", "block"], *(b.column(j).take(pa.array(asked)) for j in range(3)), pa.array(block, pa.int64()))
 
         return each
 
-    others = map_arrow(queries.join(reach.select("id", "kth2"), "id", "left").select("id", "v", "p", "block", "kth2"), make, "id long, v array<double>, p array<double>, block long")
-    found = first.union(searched(data, others, k)).where("score is not null").select("query_id", "vec_id", "score").distinct()
+    others = map_arrow(queries.join(reach, "id", "left").select("id", "v", "p", "block", "kth2"), make, "id long, v array<double>, p array<double>, block long")
+    found = stored(first.union(searched(data, others, k)), "ann-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.where("score is not null and not isnan(score)").select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    cost = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    return ranked.join(cost, "query_id").select("query_id", "rank", "vec_id", "score", "verified")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,38 @@ def test_neighbours(spark):
     assert ann.nearest(df.where("vec_id < 3 or vec_id = 50"), F.col("id") == 50).count() == 3
 
 
+def searched(spark, v, every=50, more=()):
+    """Recall, and the share of vectors that a query was compared with."""
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + list(more)
+    got, verified = {}, {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % every == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        verified[r.query_id] = r.verified
+    w, hits = v.astype(float), 0
+    norm = np.sqrt((w * w).sum(1))
+    for q, found in got.items():
+        score = (w * w[q]).sum(1) / (norm * norm[q])
+        score[q] = -9
+        hits += len(set(np.lexsort((np.arange(len(v)), -score))[:5].tolist()) & {i for _, i, _ in found})
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5] and all(abs(s - score[i]) < 1e-12 for _, i, s in found)
+    return hits / (5 * len(got)), sum(verified.values()) / len(verified) / len(v)
+
+
+def test_neighbours_recall_and_exclusion(spark):
+    rng = np.random.default_rng(4)
+    recall, _ = searched(spark, rng.standard_normal((20_000, 32)).astype(np.float32))
+    assert recall >= 0.9
+    centres = rng.standard_normal((400, 32))
+    recall, share = searched(spark, (centres[rng.integers(0, 400, 20_000)] + 0.05 * rng.standard_normal((20_000, 32))).astype(np.float32))
+    assert recall >= 0.9 and share < 0.5  # clusters are left out
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.5, 0.5]), (2, [0.2, 1.0]), (-3, [0.1, 1.0])]
+    got = [tuple(r)[:3] for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("id") == 50).collect()]
+    assert got == [(50, 1, -3), (50, 2, 2), (50, 3, 1)]  # the least vectors of 50 and 1 stand
+
+
 def test_decontamination(spark, monkeypatch):
     rng = random.Random(6)
     items = [(1, prose(rng, 25)), (2, prose(rng, 10)), (3, "Cat, dog!"), (4, None), (5, "..."), (2, prose(rng, 12)), (None, "dog egg fox")]
