@@ -1,34 +1,42 @@
 """Benchmark decontamination by a generalised suffix automaton of the test items.
 
-The driver builds the automaton of a chunk of items (a chunk holds at most
-``CHUNK_BYTES`` of item text, or one item) and writes it to the shared folder before it
-reads the next chunk. A worker holds one automaton at a time and takes each batch of
-documents past all of them, so neither grows with the benchmark. Tasks stream document words through it,
-track the longest matching length, and mark every word inside a window of ``n``
-consecutive item words. An item of fewer words is one window.
+Items are dealt out to chunks of about ``CHUNK_BYTES`` of text; an item of more than
+``PIECE`` words is cut into pieces that overlap by ``n`` - 1 words, so no window is lost.
+Tasks build an automaton of each chunk, lay it out as flat arrays (some 10 bytes for each
+byte of text) and write it to the shared folder. Workers hold as many automata as fit into
+``HELD_BYTES`` and take each batch of documents past all of them, so neither the driver nor a
+worker grows with the benchmark. They stream document words through an automaton, track the
+longest matching length, and mark every word inside a window of ``n`` consecutive item words.
+An item of fewer words is one window.
 
 Nulls: a null text has no words; items with null id or without words take no part.
-Repeated documents are judged one by one; items that repeat an id count as one item.
+Repeated documents are judged one by one; items that repeat an id count as one item. Without
+items no document is hit; an empty table of documents gives an empty result. A very long text
+is held whole, with its words, by one worker. Of docs and benchmark the named columns are read
+alone (decontaminate() keeps all of docs and adds none), so other names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, fetch, fresh_dir, map_arrow, prepare, put, table
+from .common import as_bytes, batch, fetch, fresh_dir, map_arrow, prepare, put, schema_of, table
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES, PIECE = 1 << 20, 50_000
+HELD_BYTES = 200 << 20
 #: Digits and letters stand, A-Z become a-z, other ASCII separates, bytes of other characters stand.
 NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-BITS = 22
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -36,29 +44,17 @@ def words(text: bytes | None) -> list[bytes]:
     return text.translate(NORMAL).split() if text else []
 
 
-class SuffixAutomaton:
-    """Generalised suffix automaton over word ids, with the windows that end in each state."""
+class Builder:
+    """Grows a generalised suffix automaton over word ids; a state's transitions are a dict."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
-        self.n, self.vocab = n, {}
+    def __init__(self):
         self.next, self.link, self.len = [{}], [-1], [0]
-        items = [(i, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]) for i, ws in items if ws]
-        for _, ids in items:
-            last = 0
-            for w in ids:
-                last = self._extend(last, w)
-        self._windows(items)
-        self.least = min([n, *(len(ids) for _, ids in items)])
-        self.pairs = np.zeros(1 << BITS, bool)
-        for _, ids in items:
-            a = np.array(ids, np.int64)
-            self.pairs[pair_slots(a)] = True
-
-    def _extend(self, p: int, w: int) -> int:
+
+    def extend(self, p: int, w: int) -> int:
         nxt, link, length = self.next, self.link, self.len
         if w in nxt[p]:
             q = nxt[p][w]
-            return q if length[q] == length[p] + 1 else self._clone(p, q, w)
+            return q if length[q] == length[p] + 1 else self.clone(p, q, w)
         cur = len(nxt)
         nxt.append({})
         link.append(0)
@@ -68,10 +64,10 @@ class SuffixAutomaton:
             p = link[p]
         if p != -1:
             q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, w)
+            link[cur] = q if length[q] == length[p] + 1 else self.clone(p, q, w)
         return cur
 
-    def _clone(self, p: int, q: int, w: int) -> int:
+    def clone(self, p: int, q: int, w: int) -> int:
         c = len(self.next)
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
@@ -82,28 +78,78 @@ class SuffixAutomaton:
         self.link[q] = c
         return c
 
-    def _windows(self, items) -> None:
-        """found[state]: items with a window of n words that ends there; short[state]: (length, item)."""
-        n, self.found, own = self.n, {}, {}
-        for item, ids in items:
+
+def flat_lists(lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each list ends, and all of them one after the other."""
+    return np.cumsum([0, *map(len, lists)]).astype(np.int32), np.array([x for one in lists for x in one], np.int32)
+
+
+class SuffixAutomaton:
+    """A generalised suffix automaton as flat arrays, with the windows that end in each state.
+
+    State v goes to ``to[k]`` by word ``by[k]`` for the k in at[v]:at[v + 1]. Lists of windows are
+    kept once: ``found`` and ``short`` say which of them a state has (-1: none); a list of found
+    holds items, one of short pairs of length and item.
+    """
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
+        self.n, self.vocab = n, {}
+        self.names = sorted({i for i, ws in items if ws})
+        name = {x: k for k, x in enumerate(self.names)}
+        held = [(name[i], [self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws]) for i, ws in items if ws]
+        b = Builder()
+        for _, ids in held:
+            last = 0
+            for w in ids:
+                last = b.extend(last, w)
+        self.link, self.len = np.array(b.link, np.int32), np.array(b.len, np.int32)
+        self.at = np.cumsum([0, *map(len, b.next)]).astype(np.int32)
+        order = [sorted(x) for x in b.next]
+        self.by = np.array([w for ws in order for w in ws], np.int32)
+        self.to = np.array([x[w] for x, ws in zip(b.next, order, strict=True) for w in ws], np.int32)
+        self._windows(held, b.next)
+        self.least = min([n, *(len(ids) for _, ids in held)])
+        pairs = sum(max(0, len(ids) - 1) for _, ids in held)
+        self.bits = max(12, (16 * pairs).bit_length())
+        self.pairs = np.zeros(1 << self.bits, bool)
+        for _, ids in held:
+            self.pairs[self._slots(np.array(ids, np.int64))] = True
+
+    def _windows(self, held, nxt) -> None:
+        n, found, own = self.n, {}, {}
+        for item, ids in held:
             v = 0
             for k, w in enumerate(ids, 1):
-                v = self.next[v][w]
+                v = nxt[v][w]
                 if k >= n:
-                    self.found.setdefault(self.window_state(v), set()).add(item)
+                    found.setdefault(self.window_state(v), set()).add(item)
             if len(ids) < n:
                 own.setdefault(v, set()).add((len(ids), item))
-        self.short: dict[int, list] = {}
-        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__) if own else ():
-            got = self.short.get(self.link[v], []) + sorted(own.get(v, ()))
-            if got:
-                self.short[v] = got
+        lists: dict[tuple, int] = {}
+        self.found = np.full(len(self.len), -1, np.int32)
+        for v, x in found.items():
+            self.found[v] = lists.setdefault(tuple(sorted(x)), len(lists))
+        self.found_end, self.found_item = flat_lists(list(lists))
+        short: list[list] = []
+        self.short = np.full(len(self.len), -1, np.int32)
+        for v in np.argsort(self.len[1:], kind="stable") + 1 if own else ():
+            above = int(self.short[self.link[v]])
+            if int(v) in own:
+                short.append([*(short[above] if above >= 0 else ()), *sorted(own[int(v)])])
+                above = len(short) - 1
+            self.short[v] = above
+        self.short_end, both = flat_lists([[x for pair in one for x in pair] for one in short])
+        self.short_pair = both.reshape(-1, 2)
 
     def window_state(self, v: int) -> int:
         """The state of the last n words of what v has read."""
         while self.len[self.link[v]] >= self.n:
             v = self.link[v]
-        return v
+        return int(v)
+
+    def nbytes(self) -> int:
+        arrays = sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+        return arrays + 120 * len(self.vocab) + 60 * len(self.names)
 
     def spans(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word ranges of all windows in a document, in order of their ends, and their items."""
@@ -115,39 +161,46 @@ class SuffixAutomaton:
             self._stream(ids[a:b].tolist(), a, spans, items)
         return spans, items
 
+    def _slots(self, ids: np.ndarray) -> np.ndarray:
+        return (ids[:-1] * 1_000_003 + ids[1:] * 7_919) & ((1 << self.bits) - 1)
+
     def _runs(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Stretches that can hold a window: known words, whose neighbours are pairs of some item."""
         ok, more = ids > 0, self.least - 1
         if more:
-            ok = ok[:-1] & ok[1:] & self.pairs[pair_slots(ids)]
+            ok = ok[:-1] & ok[1:] & self.pairs[self._slots(ids)]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], ok.view(np.int8), [0]))))
         starts, ends = edge[::2], edge[1::2]
         keep = ends - starts >= max(1, more)
         return list(zip(starts[keep].tolist(), (ends[keep] + (1 if more else 0)).tolist(), strict=True))
 
-    def _stream(self, ids, at, spans, items) -> None:
-        nxt, link, length, n = self.next, self.link, self.len, self.n
-        v = matched = 0
-        for i, w in enumerate(ids, at + 1):
-            while v and w not in nxt[v]:
+    def _stream(self, ids, start, spans, items) -> None:
+        at, by, to, link, length = (memoryview(x) for x in (self.at, self.by, self.to, self.link, self.len))
+        n, v, matched = self.n, 0, 0
+        for i, w in enumerate(ids, start + 1):
+            while True:
+                hi = at[v + 1]
+                k = bisect_left(by, w, at[v], hi)
+                if k < hi and by[k] == w:
+                    v = to[k]
+                    matched += 1
+                    break
+                if not v:
+                    matched = 0
+                    break
                 v = link[v]
                 matched = length[v]
-            if w not in nxt[v]:
-                matched = 0
+            if not matched:
                 continue
-            v = nxt[v][w]
-            matched += 1
-            for k, item in self.short.get(v, ()):
-                if k <= matched:
-                    spans.append((i - k, i))
-                    items.add(item)
+            if (s := self.short[v]) >= 0:
+                for size, item in self.short_pair[self.short_end[s] // 2 : self.short_end[s + 1] // 2].tolist():
+                    if size <= matched:
+                        spans.append((i - size, i))
+                        items.add(self.names[item])
             if matched >= n:
+                f = self.found[self.window_state(v)]
                 spans.append((i - n, i))
-                items |= self.found.get(self.window_state(v), set())
-
-
-def pair_slots(ids: np.ndarray) -> np.ndarray:
-    return (ids[:-1] * 1_000_003 + ids[1:] * 7_919) & ((1 << BITS) - 1)
+                items.update(self.names[x] for x in self.found_item[self.found_end[f] : self.found_end[f + 1]].tolist())
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -161,42 +214,55 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items, at most CHUNK_BYTES of text (or one item) at a time; one empty chunk if there are none."""
-    held, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("i is not null and t is not null")
-    for r in rows.toLocalIterator():
-        if held and size + len(r.t) > CHUNK_BYTES:
-            yield held
-            held, size = [], 0
-        held.append((r.i, words(bytes(r.t))))
-        size += len(r.t)
-    yield held
+def automata(benchmark: DataFrame, n: int, id_col: str, text_col: str, chunk_bytes: int | None = None) -> list[str]:
+    """Builds an automaton of each chunk of items, in tasks that write to the shared folder; returns their paths."""
+    spark = benchmark.sparkSession
+    folder, chunk_bytes = fresh_dir(spark, "automata"), chunk_bytes or CHUNK_BYTES
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    chunks = max(1, -(-size // chunk_bytes))
+
+    def pieces():
+        def each(b):
+            items, texts = [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ws = words(t.as_py())
+                for at in range(0, max(1, len(ws) - n + 1), PIECE):
+                    items.append(i)
+                    texts.append(b" ".join(ws[at : at + PIECE + n - 1]))
+            yield batch(["item", "text"], pa.array(items, pa.string()), pa.array(texts, pa.binary()))
+
+        return each
 
+    def built(key, g):
+        g = g.sort_values(["item", "text"])
+        path = f"{folder}/{key[0]:06d}-{uuid.uuid4().hex}"  # a retry writes a file of its own
+        put(path, pickle.dumps(SuffixAutomaton([(i, bytes(t).split()) for i, t in zip(g["item"], g["text"], strict=True)], n), protocol=5))
+        return pd.DataFrame({"chunk": [key[0]], "path": [path]})
 
-def automata(benchmark: DataFrame, n: int, id_col: str, text_col: str) -> list[str]:
-    """Writes an automaton of each chunk to the shared folder, one after the other; returns their paths."""
-    folder, paths = fresh_dir(benchmark.sparkSession, "automata"), []
-    for k, items in enumerate(chunks(benchmark, id_col, text_col)):
-        paths.append(f"{folder}/{k:06d}")
-        put(paths[-1], pickle.dumps(SuffixAutomaton(items, n), protocol=5))
-    return paths
+    dealt = map_arrow(rows, pieces, "item string, text binary").withColumn("chunk", F.pmod(F.xxhash64("item", "text"), F.lit(chunks)).cast("int"))
+    # a row for each chunk: as many as the benchmark has megabytes
+    return [r.path for r in dealt.groupBy("chunk").applyInPandas(built, "chunk int, path string").orderBy("chunk").collect()]
 
 
 _held: dict[str, SuffixAutomaton] = {}
 
 
 def automaton(path: str) -> SuffixAutomaton:
-    """A worker process holds one, which later batches and tasks find."""
+    """A worker process keeps what fits into HELD_BYTES; later batches and tasks find it."""
     if path not in _held:
-        _held.clear()
-        _held[path] = pickle.loads(fetch(path))
+        got = pickle.loads(fetch(path))
+        if sum(x.nbytes() for x in _held.values()) + got.nbytes() > HELD_BYTES:
+            _held.clear()
+        _held[path] = got
     return _held[path]
 
 
-def matches(paths: list[str], texts: list[bytes | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
+def matches(paths: list[str], texts: list[bytes | None]) -> Iterator[tuple[int, list[tuple[int, int]], set]]:
     """Of each text: the number of its words, the word ranges hit, the items found."""
     n, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+    for k, t in enumerate(texts) if not paths else ():
+        n[k] = len(words(t))
     for path in paths:
         machine = automaton(path)
         for k, t in enumerate(texts):
@@ -205,7 +271,7 @@ def matches(paths: list[str], texts: list[bytes | None]) -> list[tuple[int, list
             n[k] = len(ws)
             spans[k] += found
             items[k] |= ids
-    return list(zip(n, map(merged, spans), items, strict=True))
+    return zip(n, map(merged, spans), items, strict=True)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -274,9 +340,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_covera
 
         return each
 
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    sent = docs.select(*(as_bytes() if c == "text" else F.col(f"`{c}`") for c in names))
-    return map_arrow(sent, make, schema).withColumn("text", F.col("text").cast("string"))
+    sent = docs.withColumn("text", F.col("text").cast("binary"))
+    return map_arrow(sent, make, schema_of(sent)).withColumn("text", F.col("text").cast("string"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
