@@ -9,6 +9,7 @@ from ..config import ReduceConfig, SolverConfig
 from ..functions.woe import bin_statistics, gini_impurity
 from ..operators import analysis, association, binning, histogram, merge, missing, sampling, target
 from ..sources import tables
+from . import oracles
 from .reduce import reduced
 from .reports import reduction_report
 
@@ -176,7 +177,7 @@ def categorical_cart_bins(spark, sf_dir):
 def _merged(spark, sf_dir, solver):
     df = lineitem(spark, sf_dir)
     t = analysis.totals(df)
-    out = merge.merged(_prebins(spark, sf_dir).where("feature = 'l_extendedprice'"), 5, t.events, t.non_events, solver)
+    out = merge.merged(_prebins(spark, sf_dir), 5, t.events, t.non_events, solver)
     return rounded(bin_statistics(analysis.with_totals(out, t)).select("feature", "bin", "lower", "events", "non_events", "woe", "iv"))
 
 
@@ -304,14 +305,7 @@ def _ratios(names: list[str], w: str) -> str:
     return _RATIOS.format(names=", ".join(f"'{n}'" for n in names), sums=", ".join(f"sum(CASE WHEN {n} IS NULL THEN {w} ELSE 0.0 END) / sum({w})" for n in names))
 
 
-def _woe(e: str, n: str) -> str:
-    return f"ln((({e} + 0.5) / (tot.E + 0.5)) / (({n} + 0.5) / (tot.N + 0.5)))"
-
-
-def _iv(e: str, n: str) -> str:
-    return f"((({e} + 0.5) / (tot.E + 0.5)) - (({n} + 0.5) / (tot.N + 0.5))) * {_woe(e, n)}"
-
-
+_woe, _iv = oracles.woe, oracles.iv
 _LINE = "line AS (SELECT *, CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END AS y FROM lineitem WHERE l_returnflag IN ('R', 'N')), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM line)"
 _LONG = _LINE + ", lng AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, y, l_orderkey, l_linenumber FROM line" for c in LINE) + ")"
 _BINS = (
@@ -350,35 +344,56 @@ def _pairs(names: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
 
 
-def _v(a: str, b: str) -> str:
-    return f"""SELECT '{a}' AS feature1, '{b}' AS feature2, round(least(1.0, sqrt(greatest(0, (s - 1) - (r - 1) * (c - 1) / (n - 1)) / least(r - (r - 1) ^ 2 / (n - 1) - 1, c - (c - 1) ^ 2 / (n - 1) - 1))), 6) + 0.0 AS v
+def _v(a: str, b: str, rounded: bool = True) -> str:
+    start, end = ("round(", ", 6) + 0.0") if rounded else ("", "")
+    return f"""SELECT '{a}' AS feature1, '{b}' AS feature2, {start}least(1.0, sqrt(greatest(0, (s - 1) - (r - 1) * (c - 1) / (n - 1)) / least(r - (r - 1) ^ 2 / (n - 1) - 1, c - (c - 1) ^ 2 / (n - 1) - 1))){end} AS v
 FROM (SELECT sum(o * o / (ra * cb)) AS s, max(n) AS n, count(DISTINCT a)::DOUBLE AS r, count(DISTINCT b)::DOUBLE AS c FROM (SELECT *, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS cb, sum(o) OVER () AS n FROM (SELECT {a} AS a, {b} AS b, count(*)::DOUBLE AS o FROM t GROUP BY 1, 2)))"""
 
 
-def _eta(cat: str, num: str) -> str:
-    return f"SELECT '{cat}' AS feature1, '{num}' AS feature2, round(sqrt((SELECT sum(k * (m - (SELECT avg({num}) FROM t)) ^ 2) FROM (SELECT count(*) AS k, avg({num}) AS m FROM t GROUP BY {cat})) / (SELECT var_pop({num}) * count(*) FROM t)), 6) + 0.0 AS eta"
+def _eta(cat: str, num: str, rounded: bool = True) -> str:
+    start, end = ("round(", ", 6) + 0.0") if rounded else ("", "")
+    return f"SELECT '{cat}' AS feature1, '{num}' AS feature2, {start}sqrt((SELECT sum(k * (m - (SELECT avg({num}) FROM t)) ^ 2) FROM (SELECT count(*) AS k, avg({num}) AS m FROM t GROUP BY {cat})) / (SELECT var_pop({num}) * count(*) FROM t)){end} AS eta"
 
 
-def _splits(where: str = "") -> str:
+def _splits() -> str:
     """The best split of each feature's top node."""
-    g = lambda e, n: f"(2 * ({e}) / (({e}) + ({n})) * (1 - ({e}) / (({e}) + ({n}))))"
+    g = oracles.impurity
     return f"""WITH {_LONG}, hist AS (SELECT feature, value, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n, count(*) AS r FROM lng GROUP BY 1, 2),
 run AS (SELECT *, sum(e) OVER w AS le, sum(n) OVER w AS ln_, sum(r) OVER w AS lr, sum(e) OVER f AS te, sum(n) OVER f AS tn, sum(r) OVER f AS tr FROM hist WINDOW w AS (PARTITION BY feature ORDER BY value), f AS (PARTITION BY feature)),
 c AS (SELECT feature, value, lr, round({g("te", "tn")} - (le + ln_) / (te + tn) * {g("le", "ln_")} - (te + tn - le - ln_) / (te + tn) * {g("te - le", "tn - ln_")}, 12) AS gain FROM run WHERE lr >= 5 AND tr - lr >= 5)
 SELECT feature, round(value, 6) AS value, round(gain, 9) AS gain, CAST(lr AS BIGINT) AS rows_left FROM c WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, value) = 1"""
 
 
-def _optimal(order: str = "") -> str:
-    """Five runs of the twenty pre-bins of one feature, of greatest total IV."""
-    return f"""WITH RECURSIVE {_BINS}, b AS (SELECT bin, lower, events, non_events FROM bins WHERE feature = 'l_extendedprice'),
-s AS (SELECT x.bin AS i, z.bin AS j, sum(m.events) AS ev, sum(m.non_events) AS nev FROM b x JOIN b z ON z.bin >= x.bin JOIN b m ON m.bin BETWEEN x.bin AND z.bin GROUP BY 1, 2),
-v AS (SELECT i, j, {_woe("ev", "nev")} AS woe, {_iv("ev", "nev")} AS iv FROM s, tot WHERE ev + nev >= 5),
-p1 AS (SELECT i, j, woe, iv AS total, [i] AS starts FROM v WHERE i = 0),
-""" + ",\n".join(f"p{k} AS (SELECT v.i, v.j, v.woe, p.total + v.iv AS total, list_append(p.starts, v.i) AS starts FROM p{k - 1} p JOIN v ON v.i = p.j + 1 {order} QUALIFY row_number() OVER (PARTITION BY v.i, v.j ORDER BY p.total + v.iv DESC) = 1)" for k in range(2, 6)) + f""",
-top AS (SELECT starts FROM p5 WHERE j = (SELECT max(bin) FROM b) ORDER BY total DESC LIMIT 1),
-run AS (SELECT b.*, len(list_filter(starts, lambda x: x <= bin)) - 1 AS k FROM b, top),
-o AS (SELECT CAST(k AS INT) AS bin, min(lower) AS lower, sum(events) AS events, sum(non_events) AS non_events FROM run GROUP BY 1)
-SELECT 'l_extendedprice' AS feature, bin, round(lower, 6) AS lower, events, non_events, round({_woe("events", "non_events")}, 6) + 0.0 AS woe, round({_iv("events", "non_events")}, 6) + 0.0 AS iv FROM o, tot"""
+def _merge_sql(step: str) -> str:
+    return f"""WITH {_BINS}, {step}
+SELECT feature, bin, round(lower, 6) AS lower, events, non_events, round({_woe("events", "non_events")}, 6) + 0.0 AS woe, round({_iv("events", "non_events")}, 6) + 0.0 AS iv FROM o, tot"""
+
+
+_HIST = "hist AS MATERIALIZED (SELECT feature, value, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n, count(*) AS r FROM lng GROUP BY 1, 2)"
+_LEAST = "(SELECT greatest(1, floor(count(*) * 5.0 / 100)) FROM lineitem)"
+_CART = f"{_LONG}, {_HIST}, {oracles.tree('hist', 19, _LEAST, 'leaf')}, {oracles.tree_bins('hist', 'leaf', 'pre')}"
+
+
+def _associations(numbers: list[str], texts: list[str]) -> str:
+    """(f1, f2, c, measure, place) of all pairs, in the order that ties are taken in."""
+    parts = [f"SELECT '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS c, 'Pearson' AS measure" + " FROM t" for a, b in _pairs(numbers)]
+    parts += [f"SELECT feature1, feature2, v, 'CramersV' FROM ({_v(a, b, False)})" for a, b in _pairs(texts)]
+    parts += [f"SELECT feature1, feature2, eta, 'Eta' FROM ({_eta(a, b, False)})" for a in texts for b in numbers]
+    return " UNION ALL ".join(f"SELECT *, {k} AS place FROM ({p})" for k, p in enumerate(parts))
+
+
+def _drops() -> str:
+    numbers, texts = [*LINE, "revenue"], ["l_returnflag", "l_linestatus", "band"]
+    return f"""WITH RECURSIVE {_PRICED.replace("t AS (SELECT *,", "t AS MATERIALIZED (SELECT *, (l_extendedprice > 50000)::INT AS y,", 1)},
+tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM t),
+hist AS MATERIALIZED ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n, count(*) AS r FROM t GROUP BY 2" for c in numbers)}),
+{oracles.tree("hist", 19, _LEAST, "leaf")}, {oracles.tree_bins("hist", "leaf", "pre")}, {oracles.optimal("pre", 10, "o")}, {oracles.numeric_stats("hist", "o", "ns")},
+cats AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS c, sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM t GROUP BY 2" for c in texts)}),
+{oracles.category_groups("cats", 10, "cg")}, {oracles.category_stats("cg", "cs")},
+stats AS MATERIALIZED (SELECT * FROM ns UNION ALL SELECT * FROM cs),
+pairs AS MATERIALIZED ({_associations([*numbers, "y"], texts)}),
+{oracles.drops("stats", "pairs", "y", 0.02, 0.9, "gone")}
+"""
 
 
 ORACLE_SQL = {
@@ -400,8 +415,16 @@ ORACLE_SQL = {
     "low_gini_features": f"WITH {_GINI} SELECT feature, round(2 * auc - 1, 6) + 0.0 AS gini FROM a WHERE abs(2 * auc - 1) < 0.5",
     "gini_impurity_by_quantity": f"WITH {_LINE}, h AS (SELECT l_quantity AS value, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n FROM line GROUP BY 1) SELECT value, round(2 * (e / (e + n)) * (1 - e / (e + n)), 6) + 0.0 AS impurity FROM h",
     "best_split": _splits(),
-    "optimal_merge": _optimal(),
-    "optimal_merge_ascending": _optimal("AND v.woe >= p.woe"),
+    "cart_bins": f"WITH {_CART} SELECT feature, bin, round(lower, 6) AS lower, round(lead(lower) OVER (PARTITION BY feature ORDER BY bin), 6) AS upper, events, non_events FROM pre",
+    "cart_iv": f"WITH {_CART}, {oracles.optimal('pre', 10, 'o')}, {oracles.numeric_stats('hist', 'o', 's')} SELECT feature, 'Numeric' AS feature_type, round(iv, 6) + 0.0 AS iv, round(gini, 6) + 0.0 AS gini FROM s",
+    "categorical_cart_bins": f"WITH line AS (SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS y FROM orders WHERE o_orderstatus IN ('F', 'O')), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM line), cats AS (SELECT 'o_orderpriority' AS feature, o_orderpriority AS c, sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM line GROUP BY 2), {oracles.category_groups('cats', 3, 'g')} SELECT feature, category, events, non_events, round({_woe('events', 'non_events')}, 6) + 0.0 AS woe, round({_iv('events', 'non_events')}, 6) + 0.0 AS iv FROM g, tot",
+    "greedy_merge": _merge_sql(oracles.greedy("bins", 20, 5, "o")),
+    "optimal_merge": _merge_sql(oracles.optimal("bins", 5, "o")),
+    # a feature without ascending runs is merged greedily
+    "optimal_merge_ascending": _merge_sql(oracles.optimal("bins", 5, "best", "AND v.woe >= p.woe") + ",\n" + oracles.greedy("bins", 20, 5, "most") + ", o AS (SELECT * FROM best WHERE feature IN (SELECT feature FROM best_top) UNION ALL SELECT * FROM most WHERE feature NOT IN (SELECT feature FROM best_top))"),
+    "associated": f"WITH {_PRICED} SELECT f1 AS feature1, f2 AS feature2, round(c, 6) + 0.0 AS correlation, measure FROM ({_associations([*LINE, 'revenue'], ['l_returnflag', 'l_linestatus', 'band'])}) WHERE abs(c) > 0.5",
+    "drop_selection": _drops() + "SELECT feature, stage, reason FROM gone",
+    "reduce_report": _drops() + "SELECT f AS feature, CASE WHEN stage IS NULL THEN 'kept' ELSE 'dropped' END AS status, stage AS dropped_at_stage FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'revenue', 'band']) AS f) LEFT JOIN gone ON gone.feature = f",
     "pearson_pairs": f"WITH {_PRICED} " + " UNION ALL ".join(_corr(a, b, None) for a, b in _pairs([*LINE, "revenue"])),
     "pearson_weighted": f"WITH {_PRICED} " + " UNION ALL ".join(_corr(a, b, "l_quantity") for a, b in _pairs(["l_extendedprice", "l_discount", "l_tax", "revenue"])),
     "cramers_v_pairs": f"WITH {_PRICED} " + " UNION ALL ".join(_v(a, b) for a, b in _pairs(["l_returnflag", "l_linestatus", "band"])),
