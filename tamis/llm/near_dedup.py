@@ -17,6 +17,11 @@ Classes are the connected components.
 
 Equal texts are one node from the start. A null text, or one without words, is a class
 of its own. A class is named by its least doc_id (null if it has none).
+
+Rows that repeat a doc_id are judged one by one. An empty table gives an empty result. A very
+long text is held whole by one worker, with 8 bytes a word and shingle. classes() reads doc_id
+and text alone; one_of_each() keeps all columns of docs, and what it adds for its joins gets
+names that docs doesn't have.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, map_arrow, prepare, stored, table
+from .common import as_bytes, batch, map_arrow, prepare, stored, table, unused
+from .common import named as named_column
 from .decontam import words
 from .substring import CHUNK, WordHashes, grams, mixed, odd
 
@@ -189,7 +195,8 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(node, label) of the nodes that have a link."""
     nodes = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("keeper"), F.first("bands").alias("bands"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in BITS))
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # stored before joins on their own key, so that Spark can split a bucket or class that is large
+    sizes = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
     rows = stored(rows.join(sizes, "bucket"), "near-buckets")
     degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
     info = nodes.select("node", "keeper", "n", *BITS).join(degree, "node")
@@ -201,7 +208,7 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     judged, rest = None, rows
     for _ in range(STAR_ROUNDS):
         best = F.max(F.struct("degree", "node"))["node"]
-        heads = rest.groupBy("bucket").agg(best.alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+        heads = stored(rest.groupBy("bucket").agg(best.alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-heads")
         told = rest.join(heads, "bucket").where("node != head").select("bucket", F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"), "node", "n", "degree")
         pairs = told.select("a", "b").distinct()
         if judged is not None:
@@ -214,7 +221,7 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     labels = components(judged.where("ok"))
     # members of one bucket in different classes
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_ = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("mixed").drop("mixed")
+    mixed_ = stored(named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight")).where("mixed").drop("mixed"), "near-mixed-buckets")
     left = stored(named.join(mixed_, "bucket").select("bucket", "node", "n", "label", "size", "weight"), "near-mixed")
     small = left.where(F.col("size") <= SMALL).join(members.select("node", *BITS), "node")
     x, y = small.alias("x"), small.alias("y")
@@ -278,8 +285,8 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size of every document, and node, its text's digest."""
-    named = labelled(docs)
-    whole = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    named = stored(labelled(docs), "near-named")
+    whole = stored(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "near-classes")
     alone = F.col("label").isNull()
     return named.join(whole, "label", "left").select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"), "node")
 
@@ -290,13 +297,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     It is the one with the least doc_id (null comes last), then the least text's digest. A
     text without words is a class of its own, so all of these stay, whatever their ids.
     """
-    rank = F.struct(F.col("doc_id").isNull().alias("_null"), F.coalesce("doc_id", F.lit(LEAST)).alias("_k"), F.col("node").alias("_node"))
+    key = F.col("doc_id").cast("long")
+    least, k, node = (unused(docs, c) for c in ("is_null", "key", "node"))
+    rank = F.struct(F.col("doc_id").isNull().alias(least), F.coalesce("doc_id", F.lit(LEAST)).alias(k), F.col("node").alias(node))
     wanted = stored(labelled(docs).where("label is not null").groupBy("label").agg(F.min(rank).alias("least")).select("least.*"), "near-keepers")
     worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
-    key = F.col("doc_id").cast("long")
-    keyed = docs.where(worded).withColumns({"_null": key.isNull(), "_k": F.coalesce(key, F.lit(LEAST)), "_node": F.unhex(F.md5(F.col("text").cast("binary")))})
-    kept = keyed.join(wanted.hint("shuffle_hash"), ["_null", "_k", "_node"], "left_semi").dropDuplicates(["_null", "_k", "_node"])
-    return kept.select(*docs.columns).union(docs.where(~worded))
+    keyed = docs.where(worded).withColumns({least: key.isNull(), k: F.coalesce(key, F.lit(LEAST)), node: F.unhex(F.md5(F.col("text").cast("binary")))})
+    kept = keyed.join(wanted.hint("shuffle_hash"), [least, k, node], "left_semi").dropDuplicates([least, k, node])
+    return kept.select(*map(named_column, docs.columns)).union(docs.where(~worded))
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
