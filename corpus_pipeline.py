@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's
 rows as Parquet below the shared folder and rereads them as the next one's docs. All
-stages but the last keep the columns of documents.
+stages but the last keep the columns of documents: language ID drops what has no language
+and writes the one it found to lang, near-dedup keeps one document of each class,
+decontamination cuts spans out of text (or drops what is mostly benchmark), PII replaces
+entities in text. The last returns every document's token ids and their digests.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.tokenised(docs)
+    return bpe.tokenised(docs, with_ids=True)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("pii", pii_surrogates), ("bpe", bpe_encoding)]
