@@ -37,6 +37,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--cart-min-bin-pct", type=float, default=5.0)
     r.add_argument("--drop-columns", default="", type=lambda s: tuple(x.strip() for x in s.split(",") if x.strip()))
     r.add_argument("--infer-schema-length", type=int, default=tables.INFER_ROWS)
+    # taken for compatibility: there are no questions to leave out
+    r.add_argument("--manual", action="store_true")
+    r.add_argument("--no-confirm", action="store_true")
     s = sub.add_parser("sample")
     s.add_argument("input")
     s.add_argument("--output", "-o")
@@ -52,6 +55,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("output", nargs="?")
     c.add_argument("--infer-schema-length", type=int, default=tables.INFER_ROWS)
     c.add_argument("--fast", action="store_true")
+    for x in (r, s):
+        x.add_argument("--single-file", action="store_true", help="write one file instead of a folder of parts")
     return p
 
 
@@ -74,14 +79,14 @@ def main(argv: list[str] | None = None) -> None:
             out = sampling.stratified_sample(df, a.strata_column, sampling.parsed_sizes(a.strata_sizes or ""), a.seed)
         else:
             out = sampling.equal_allocation_sample(df, a.strata_column, a.count, a.fraction, a.seed)
-        tables.write(out, a.output or tables.output_path(a.input, "sampled"))
+        tables.write(out, a.output or tables.output_path(a.input, "sampled"), single_file=a.single_file)
         return
     config = ReduceConfig(a.target, a.event_value, a.non_event_value, a.weight_column, a.missing_threshold, a.gini_threshold, a.correlation_threshold, a.gini_bins, a.prebins, a.binning_strategy, a.min_category_samples, a.cart_min_bin_pct, a.use_solver, SolverConfig(a.monotonicity, a.solver_timeout, a.solver_gap), a.drop_columns)
     loaded = time.time() - began
     r = reduced(df, config)
     r.seconds["load"] = loaded
     path, began = a.output or tables.output_path(a.input, "reduced"), time.time()
-    tables.write(r.data, path)
+    tables.write(r.data, path, single_file=a.single_file)
     r.seconds["save"] = time.time() - began
     print(reports.summary(r))
     print(reports.package(r, path, a.input))

@@ -89,7 +89,7 @@ def pair_sums(df: DataFrame, names: list[str], w: Column, first: range, second:
 
     sums = weighted_numbers(df, [names[k] for k in at], w).mapInArrow(task, "i int, s array<double>")
     for r in sums.groupBy("i").applyInPandas(merge, "i int, s array<double>").toLocalIterator():
-        yield r.i, np.array(r.s).reshape(6, -1)
+        yield r.i, np.array(r.s, float).reshape(6, -1)  # a NaN comes back as a null
 
 
 def pearson_pairs(df: DataFrame, names: list[str], w: Column | None = None) -> list[tuple]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.woe import gini_impurity
-from .histogram import small, with_running
+from .histogram import with_running
 
 INF = float("inf")
 
@@ -118,16 +118,23 @@ def quantile_prebins(hist: DataFrame, rows: DataFrame, prebins: int, ties: list[
     hist: the histogram of rows (feature, value, y, w, *ties). Its running counts say which
     values lie in one chunk as a whole. Only the rows of the others, at most prebins - 1
     values a feature, are looked at one by one: they are told apart by ``ties``, then by y
-    and w, and rows equal in all of these count as one with a number.
+    and w. ``ties`` should be as good as a key; without any, equal rows count as one with a number.
     """
     known = hist.where("value is not null").select("feature", "value", "events", "non_events", "rows")
-    n = F.broadcast(known.groupBy("feature").agg(F.ceil(F.sum("rows") / prebins).alias("chunk")))
+    spark = hist.sparkSession
     with with_running(known, ["value"], ["rows"]) as running:
-        placed = running.join(n, "feature").withColumns({"first": F.floor((F.col("run_rows") - F.col("rows")) / F.col("chunk")).cast("int"), "last": F.floor((F.col("run_rows") - 1) / F.col("chunk")).cast("int")})
-        whole = placed.where("first = last").groupBy("feature", F.col("first").alias("bin")).agg(F.min("value").alias("lower"), F.sum("events").alias("events"), F.sum("non_events").alias("non_events")).collect()
-        cut = small(placed.where("first < last").select("feature", "value", (F.col("run_rows") - F.col("rows")).alias("before"), "chunk"))
+        n = {r.feature: r.n for r in running.groupBy("feature").agg(F.max("run_rows").alias("n")).collect()}
+        chunks = F.broadcast(spark.createDataFrame([(f, -(-x // prebins)) for f, x in n.items()], "feature string, chunk long"))
+        first, last = (F.floor(x / F.col("chunk")).cast("int") for x in (F.col("run_rows") - F.col("rows"), F.col("run_rows") - 1))
+        placed = running.join(chunks, "feature").withColumns({"first": first, "last": last}).withColumn("cut", F.when(F.col("first") < F.col("last"), F.col("value")))
+        # a row for each bin and each value that a bin's end goes through
+        found = placed.groupBy("feature", "first", "cut").agg(F.min("value").alias("lower"), F.sum("events").alias("events"), F.sum("non_events").alias("non_events"), F.min(F.col("run_rows") - F.col("rows")).alias("before")).collect()
+    whole = [r for r in found if r.cut is None]
+    cut = spark.createDataFrame([(r.feature, r.cut, r.before, -(-n[r.feature] // prebins)) for r in found if r.cut is not None], "feature string, value double, before long, chunk long")
     one = [*ties, "y", "w"]
-    groups = rows.join(F.broadcast(cut.select("feature", "value")), ["feature", "value"]).groupBy("feature", "value", *one).agg(F.count(F.lit(1)).alias("k"))
+    groups = rows.join(F.broadcast(cut.select("feature", "value")), ["feature", "value"])
+    # with columns that tell rows apart there is nothing to count
+    groups = groups.withColumn("k", F.lit(1).cast("long")) if ties else groups.groupBy("feature", "value", *one).agg(F.count(F.lit(1)).alias("k"))
     with with_running(groups, ["value", *one], ["k"]) as running:
         # a value's counts go on from those before it: run_k less the least of its value, which is the first row's
         spans = running.join(F.broadcast(running.groupBy("feature", "value").agg(F.min(F.col("run_k") - F.col("k")).alias("base"))), ["feature", "value"]).join(F.broadcast(cut), ["feature", "value"])
@@ -137,10 +144,10 @@ def quantile_prebins(hist: DataFrame, rows: DataFrame, prebins: int, ties: list[
         y, w = F.col("y"), F.col("w") * F.col("k")
         split = parts.groupBy("feature", F.col("bin").cast("int").alias("bin")).agg(F.min("value").alias("lower"), F.sum(y * w).alias("events"), F.sum((1 - y) * w).alias("non_events")).collect()
     sums: dict[tuple[str, int], list] = {}
-    for r in [*whole, *split]:
-        at = sums.setdefault((r.feature, r.bin), [INF, 0.0, 0.0])
-        sums[r.feature, r.bin] = [min(at[0], r.lower), at[1] + r.events, at[2] + r.non_events]
-    made = hist.sparkSession.createDataFrame([(*k, *v) for k, v in sorted(sums.items())], "feature string, bin int, lower double, events double, non_events double")
+    for key, r in [*(((r.feature, r["first"]), r) for r in whole), *(((r.feature, r.bin), r) for r in split)]:
+        at = sums.setdefault(key, [INF, 0.0, 0.0])
+        sums[key] = [min(at[0], r.lower), at[1] + r.events, at[2] + r.non_events]
+    made = spark.createDataFrame([(*k, *v) for k, v in sorted(sums.items())], "feature string, bin int, lower double, events double, non_events double")
     return with_upper(made)
 
 

@@ -1,7 +1,9 @@
 """Samples of exact size with inverse-probability weights.
 
 Rows are chosen by a hash of all their columns and the seed, so a sample can be repeated
-whatever the layout of the table. Equal rows are interchangeable.
+whatever the layout of the table. A stratum's sample are the rows of least hash. Nothing is
+sorted: the hash of its last row is found in three scans that count rows by leading bits.
+Equal rows are interchangeable.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.woe import label, quoted
 
 WEIGHT = "sampling_weight"
-#: Parts that each stratum is dealt out to before its least rows are taken.
-SALT = 64
+#: Low bits of the hash that a scan leaves out; at most 2^16 counts a stratum each time, but in the
+#: last, which counts the hashes that are equal in 32 bits to the one sought.
+SHIFTS = (48, 32, 0)
 
 
 def draw(df: DataFrame, seed: int, key: list[str] | None = None) -> Column:
@@ -48,6 +51,36 @@ def _guard(df: DataFrame) -> None:
         raise ValueError(f"Column '{WEIGHT}' already exists in dataset")
 
 
+def cutoffs(keyed: DataFrame, sizes: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(stratum, h, m) for rows (__s, __h): its rows of hash below h and m of those with it are as many as asked for."""
+    spark, found, before = keyed.sparkSession, [(s, n, None) for s, n in sizes.items()], None
+    for shift in SHIFTS:
+        spec = F.broadcast(spark.createDataFrame(found, "__s string, left long, prefix long"))
+        rows = keyed.join(spec, "__s")
+        if before is not None:
+            rows = rows.where(F.shiftright("__h", before) == F.col("prefix"))
+        counts = rows.groupBy("__s", "left", F.shiftright("__h", shift).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        ahead = F.sum("n").over(Window.partitionBy("__s").orderBy("part")) - F.col("n")
+        hit = counts.withColumn("ahead", ahead).where((F.col("ahead") < F.col("left")) & (F.col("ahead") + F.col("n") >= F.col("left")))
+        found, before = [(r["__s"], r.left - r.ahead, r.part) for r in hit.collect()], shift
+    return [(s, h, m) for s, m, h in found]
+
+
+def least_rows(df: DataFrame, strata_of: Column, sizes: dict[str, int], weights: dict[str, float], seed: int, key: list[str] | None) -> DataFrame:
+    """The rows of least hash of each stratum, as many as asked for, and their weight."""
+    keyed = df.withColumns({"__s": strata_of, "__h": draw(df, seed, key)})
+    cut = [(s, h, m, weights[s]) for s, h, m in cutoffs(keyed.select("__s", "__h"), sizes)]
+    spec = F.broadcast(df.sparkSession.createDataFrame(cut, f"__s string, __cut long, __m long, {WEIGHT} double"))
+    rows = keyed.join(spec, "__s").where("__h <= __cut")
+    columns = [*[quoted(c) for c in df.columns], F.col(WEIGHT)]
+    last = rows.where("__h = __cut")
+    if key is None:  # equal rows: one stands for all of them
+        last = last.dropDuplicates(["__s"]).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
+    else:
+        last = last.withColumn("__k", F.row_number().over(Window.partitionBy("__s").orderBy("__h"))).where("__k <= __m")
+    return rows.where("__h < __cut").select(*columns).union(last.select(*columns))
+
+
 def random_sample(df: DataFrame, count: int | None = None, fraction: float | None = None, seed: int = 42, key: list[str] | None = None) -> DataFrame:
     """Exactly n rows without replacement, each of weight N / n."""
     _guard(df)
@@ -55,31 +88,22 @@ def random_sample(df: DataFrame, count: int | None = None, fraction: float | Non
     n = sample_size(rows, count, fraction)
     if n > rows:
         raise ValueError(f"Sample size {n} exceeds population {rows}")
-    return df.withColumn("__h", draw(df, seed, key)).orderBy("__h").limit(n).drop("__h").withColumn(WEIGHT, F.lit(rows / n))
+    return least_rows(df, F.lit(""), {"": n}, {"": rows / n}, seed, key)
 
 
 def stratified_sample(df: DataFrame, column: str, sizes: dict[str, int], seed: int = 42, key: list[str] | None = None) -> DataFrame:
-    """n rows of each listed stratum, each of weight N_h / n_h by the population found; other strata are left out.
-
-    The least hashes are taken in each of SALT parts of a stratum first, so no stratum
-    is sorted in one task.
-    """
+    """n rows of each listed stratum, each of weight N_h / n_h by the population found; other strata are left out."""
     _guard(df)
     found = {r.value: r.population for r in strata(df, column).where(F.col("value").isin(list(sizes))).collect()}
-    rows = []
+    wanted = {}
     for value, n in sizes.items():
         if n > found.get(value, 0) > 0:
             raise ValueError(f"Sample size {n} for stratum '{value}' exceeds population {found[value]}")
         if found.get(value) and n > 0:
-            rows.append((value, n, found[value] / n))
-    if not rows:
+            wanted[value] = n
+    if not wanted:
         raise ValueError("Stratified sampling produced no rows: all strata are empty")
-    spec = F.broadcast(df.sparkSession.createDataFrame(rows, f"__s string, __n long, {WEIGHT} double"))
-    keyed = df.withColumns({"__s": stratum(df, column), "__h": draw(df, seed, key)}).join(spec, "__s")
-    part = Window.partitionBy("__s", F.pmod(F.xxhash64("__h"), F.lit(SALT))).orderBy("__h")
-    whole = Window.partitionBy("__s").orderBy("__h")
-    least = keyed.withColumn("__r", F.row_number().over(part)).where("__r <= __n")
-    return least.withColumn("__r", F.row_number().over(whole)).where("__r <= __n").select(*[quoted(c) for c in df.columns], WEIGHT)
+    return least_rows(df, stratum(df, column), wanted, {v: found[v] / n for v, n in wanted.items()}, seed, key)
 
 
 def equal_allocation_sample(df: DataFrame, column: str, count: int | None = None, fraction: float | None = None, seed: int = 42, key: list[str] | None = None) -> DataFrame:

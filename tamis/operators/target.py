@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.woe import NUMERIC, label, quoted
 
-#: More distinct labels than this make no sensible target to choose from.
-LABELS_SHOWN = 1000
-
 
 @dataclass(frozen=True)
 class TargetAnalysis:
+    """labels: all of them, for a choice of event and non-event."""
+
     already_binary: bool
     labels: list[str]
 
@@ -37,7 +36,7 @@ def analyze_target(df: DataFrame, target: str) -> TargetAnalysis:
         raise ValueError(f"Target column '{target}' contains only null values")
     if r.binary and df.select(target).where(c.isNotNull()).distinct().limit(3).count() <= 2:
         return TargetAnalysis(True, [])
-    return TargetAnalysis(False, [x.label for x in labels(df, target).limit(LABELS_SHOWN).collect()])
+    return TargetAnalysis(False, [x.label for x in labels(df, target).collect()])
 
 
 def target_mask(df: DataFrame, target: str, event: str | None = None, non_event: str | None = None) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ReduceConfig, SolverConfig
-from ..functions.woe import bin_statistics, gini_impurity
+from ..functions.woe import bin_statistics, gini_impurity, left_out, numeric_columns, text_columns
 from ..operators import analysis, association, binning, histogram, merge, missing, sampling, target
-from ..sources import tables
+from ..sources import sas7bdat_write, tables
 from . import oracles
 from .reduce import reduced
-from .reports import reduction_report
+from .reports import csv_report, gini_report, reduction_report, summary
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 TIES = ["l_orderkey", "l_linenumber"]
@@ -274,25 +274,190 @@ def parquet_row_count(spark, sf_dir):
 
 
 def _shared(spark: SparkSession) -> str:
+    """A new path below the folder that all executors share; a local master may use this machine's."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/convert-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or f'file://{tempfile.gettempdir()}').rstrip('/')}/convert-{uuid.uuid4().hex}"
+
+
+SOLD = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
 
 
 def convert_roundtrip(spark, sf_dir):
     """Parquet to CSV and back."""
     base = _shared(spark)
-    tables.convert(spark, f"{sf_dir}/nation.parquet", f"{base}.csv")
+    tables.convert(spark, f"{sf_dir}/lineitem.parquet", f"{base}.csv")
     tables.convert(spark, f"{base}.csv", f"{base}-back.parquet")
-    return spark.read.parquet(f"{base}-back.parquet")
+    return spark.read.parquet(f"{base}-back.parquet").select(*SOLD)
+
+
+def convert_by_extension(spark, sf_dir):
+    """Any format to any other, fast: Parquet to Parquet to CSV."""
+    base = _shared(spark)
+    tables.convert(spark, f"{sf_dir}/orders.parquet", f"{base}.parquet", by_extension=True, fast=True)
+    tables.convert(spark, f"{base}.parquet", f"{base}.csv", by_extension=True)
+    return tables.read(spark, f"{base}.csv", 0).select("o_orderkey", "o_totalprice", "o_orderpriority")
+
+
+def csv_quoted(spark, sf_dir):
+    """Fields with commas, quotes and line ends, written to one file and read back."""
+    path = f"{_shared(spark)}.csv"
+    df = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('a "'), "p_name", F.lit('",\n'), "p_brand").alias("label"))
+    tables.write(df, path, single_file=True)
+    return tables.read(spark, path)
+
+
+def table_stats(spark, sf_dir):
+    found = [(t, tables.stats(read(spark, sf_dir, t))) for t in ("lineitem", "orders", "events")]
+    return spark.createDataFrame([(t, x["rows"], x["columns"], x["mb"] > 0) for t, x in found], "name string, n_rows long, n_columns long, has_size boolean")
+
+
+def target_preview(spark, sf_dir):
+    """A projected, limited scan."""
+    df = tables.target_preview(read(spark, sf_dir, "orders"), "o_orderstatus", 1_000)
+    return df.agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(",".join(df.columns)))
+
+
+SAS_KINDS = {"sas_plain": {"wide": True, "mix": 3}, "sas_rle": {"compression": "rle"}, "sas_rdc": {"compression": "rdc", "order": ">", "wide": True}}
+
+
+def _sas(spark, sf_dir, kind: str) -> str:
+    """Customers as a SAS7BDAT file; every 7th balance is missing."""
+    columns = [("c_custkey", 8, 1, ""), ("c_name", 24, 2, "$"), ("c_nationkey", 4, 1, "BEST"), ("c_acctbal", 8, 1, "COMMA"), ("day", 8, 1, "DATE"), ("at", 8, 1, "DATETIME")]
+    day, at = F.expr("date_add(date'2001-02-03', cast(c_custkey % 1000 as int))"), F.expr("timestamp_ntz'2001-02-03 04:05:06' + make_dt_interval(0, 0, 0, c_custkey)")
+    rows = read(spark, sf_dir, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")), day, at)
+    path = f"{_shared(spark)}.sas7bdat"
+    tables.put(path, sas7bdat_write.written(columns, map(tuple, rows.toLocalIterator()), **SAS_KINDS[kind]))
+    return path
+
+
+def sas_plain(spark, sf_dir):
+    return tables.read(spark, _sas(spark, sf_dir, "sas_plain"))
+
+
+def sas_rle(spark, sf_dir):
+    return tables.read(spark, _sas(spark, sf_dir, "sas_rle"))
+
+
+def sas_rdc(spark, sf_dir):
+    return tables.read(spark, _sas(spark, sf_dir, "sas_rdc"))
+
+
+def sas_to_parquet(spark, sf_dir):
+    source = _sas(spark, sf_dir, "sas_plain")
+    return spark.read.parquet(tables.convert(spark, source))
+
+
+def sas_columns(spark, sf_dir):
+    path = _sas(spark, sf_dir, "sas_rle")
+    kinds = dict(tables.read(spark, path).dtypes)
+    return spark.createDataFrame([(k, c, kinds[c]) for k, c in enumerate(tables.column_names(spark, path))], "place int, name string, type string")
+
+
+# ---- more of the reduction
+
+
+def optimal_merge_descending(spark, sf_dir):
+    return _merged(spark, sf_dir, SolverConfig("desc"))
+
+
+def optimal_merge_auto(spark, sf_dir):
+    """auto, peak and valley put no constraint."""
+    return _merged(spark, sf_dir, SolverConfig("auto"))
+
+
+def merge_of_few_bins(spark, sf_dir):
+    """No more bins than asked for: they stay."""
+    df = lineitem(spark, sf_dir)
+    t = analysis.totals(df)
+    out = merge.merged(_prebins(spark, sf_dir), 20, t.events, t.non_events, SolverConfig())
+    return rounded(out.select("feature", "bin", "lower", "events", "non_events"))
+
+
+def correlation_matrix(spark, sf_dir):
+    names = [*LINE, "revenue"]
+    m = association.correlation_matrix(_priced(spark, sf_dir), names)
+    return rounded(spark.createDataFrame([(a, b, float(m[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)], "feature1 string, feature2 string, r double"))
+
+
+def matrix_pairs(spark, sf_dir):
+    names = [*LINE, "revenue"]
+    got = association.matrix_pairs(association.correlation_matrix(_priced(spark, sf_dir), names), names, 0.1)
+    return rounded(spark.createDataFrame(got, "feature1 string, feature2 string, r double"))
+
+
+def column_kinds(spark, sf_dir):
+    df = read(spark, sf_dir, "lineitem")
+    found = [("numeric", c) for c in numeric_columns(df)] + [("text", c) for c in text_columns(df)] + [("other", c) for c in left_out(df)]
+    return spark.createDataFrame(found, "kind string, name string")
+
+
+def drop_columns(spark, sf_dir):
+    """Columns dropped by name and by stage leave the others' values as they were."""
+    df = read(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", (F.col("l_quantity") * 2).alias("twin"))
+    r = reduced(df, ReduceConfig("l_linestatus", "O", "F", gini_threshold=0.0, correlation_threshold=0.9, drop_columns=("l_tax",)))
+    return rounded(r.data.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.lit(",".join(r.data.columns)).alias("columns")))
+
+
+def binary_targets(spark, sf_dir):
+    """Which targets may be used without a mapping, and why the others may not."""
+    out = []
+    cases = [("labels", "toxic", None), ("orders", "o_orderstatus", None), ("lineitem", "l_linenumber", None), ("nation", "n_regionkey", "n_regionkey = 1")]
+    for t, c, where in cases:
+        df = read(spark, sf_dir, t)
+        try:
+            target.validate_binary(df.where(where) if where else df, c)
+            out.append((c, "ok"))
+        except ValueError as e:
+            out.append((c, str(e).partition("' ")[2]))
+    return spark.createDataFrame(out, "target string, told string")
+
+
+def gini_report_features(spark, sf_dir):
+    df = lineitem(spark, sf_dir).select(*LINE, "l_returnflag")
+    r = reduced(df, ReduceConfig("l_returnflag", "R", "N", gini_threshold=0.0, correlation_threshold=1.0))
+    report, bare = gini_report(r), gini_report(r, legacy=True)
+    assert [x["feature_name"] for x in bare] == [x["feature_name"] for x in report["features"]] and report["summary"]["total_features_analyzed"] == len(bare)
+    rows = [(x["feature_name"], x["feature_type"], len(x["bins"]), float(sum(b["events"] for b in x["bins"])), x["iv"], x["gini"]) for x in report["features"]]
+    return rounded(spark.createDataFrame(rows, "feature string, feature_type string, n_bins long, events double, iv double, gini double"))
+
+
+def csv_report_rows(spark, sf_dir):
+    import csv
+    import io
+
+    rows = csv.DictReader(io.StringIO(csv_report(reduction_report(_dropped(spark, sf_dir)))))
+    return spark.createDataFrame([(x["feature"], x["status"], x["dropped_at_stage"], x["reason"], x["missing_ratio"], x["gini"], x["iv"], x["feature_type"]) for x in rows], "feature string, status string, dropped_at_stage string, reason string, missing_ratio string, gini string, iv string, feature_type string")
+
+
+def summary_lines(spark, sf_dir):
+    lines = dict(x.split(": ") for x in summary(_dropped(spark, sf_dir)).splitlines())
+    return spark.createDataFrame([(int(lines["features before"]), int(lines["features after"]), *(int(lines[f"dropped by {s}"].split()[0]) for s in ("missing", "gini", "correlation")))], "before int, after int, by_missing int, by_gini int, by_correlation int")
+
+
+def waterfall(spark, sf_dir):
+    """Which of planted pairs go, by every rule in turn."""
+    P, M = association.Pair, association.Metadata
+    pairs = [P("y", "a", 0.99, "Pearson"), P("b", "c", 0.98, "Eta"), P("d", "e", 0.97, "Pearson"), P("d", "f", 0.96, "Pearson"), P("g", "h", 0.95, "CramersV"), P("k", "j", 0.94, "Pearson"), P("c", "m", 0.93, "Pearson")]
+    known = {"b": M(0.3, 0.0), "c": M(0.2, 0.0), "g": M(None, 0.1), "h": M(None, 0.2), "m": M(0.9, 0.0)}
+    return spark.createDataFrame(association.features_to_drop(pairs, "y", known), "feature string, reason string")
+
+
+def sample_parsed_sizes(spark, sf_dir):
+    """Strata and sizes as the command line has them."""
+    s = sampling.stratified_sample(read(spark, sf_dir, "orders"), "o_orderstatus", sampling.parsed_sizes("F:30, P:20,X:5"), key=["o_orderkey"])
+    return rounded(s.groupBy(F.col("o_orderstatus").alias("value"), "sampling_weight").agg(F.count(F.lit(1)).alias("n")))
 
 
 _NAMES = """missing_ratio missing_ratio_weighted missing_drop target_labels target_mask_counts target_is_binary weights_clean woe_by_category
 woe_rare_other missing_bin_woe iv_categorical gini_categorical quantile_prebins quantile_iv quantile_gini gini_impurity_by_quantity best_split cart_bins
 cart_iv categorical_cart_bins greedy_merge optimal_merge optimal_merge_ascending low_gini_features pearson_pairs pearson_weighted cramers_v_pairs eta_pairs
-associated drop_selection reduce_report strata_counts sample_weights_stratified sample_weights_equal sample_random_size schema_columns parquet_row_count convert_roundtrip""".split()
+associated drop_selection reduce_report correlation_matrix matrix_pairs column_kinds drop_columns binary_targets gini_report_features csv_report_rows summary_lines waterfall
+optimal_merge_descending optimal_merge_auto merge_of_few_bins strata_counts sample_parsed_sizes convert_by_extension csv_quoted table_stats target_preview sas_plain sas_rle sas_rdc sas_to_parquet sas_columns sample_weights_stratified sample_weights_equal sample_random_size schema_columns parquet_row_count convert_roundtrip""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ---- SQL
@@ -369,6 +534,12 @@ def _merge_sql(step: str) -> str:
 SELECT feature, bin, round(lower, 6) AS lower, events, non_events, round({_woe("events", "non_events")}, 6) + 0.0 AS woe, round({_iv("events", "non_events")}, 6) + 0.0 AS iv FROM o, tot"""
 
 
+def _monotone(sign: str) -> str:
+    """WoE from run to run by the sign; a feature without such runs is merged greedily."""
+    both = ", o AS (SELECT * FROM best WHERE feature IN (SELECT feature FROM best_top) UNION ALL SELECT * FROM most WHERE feature NOT IN (SELECT feature FROM best_top))"
+    return _merge_sql(oracles.optimal("bins", 5, "best", f"AND v.woe {sign} p.woe") + ",\n" + oracles.greedy("bins", 20, 5, "most") + both)
+
+
 _HIST = "hist AS MATERIALIZED (SELECT feature, value, sum(y)::DOUBLE AS e, sum(1 - y)::DOUBLE AS n, count(*) AS r FROM lng GROUP BY 1, 2)"
 _LEAST = "(SELECT greatest(1, floor(count(*) * 5.0 / 100)) FROM lineitem)"
 _CART = f"{_LONG}, {_HIST}, {oracles.tree('hist', 19, _LEAST, 'leaf')}, {oracles.tree_bins('hist', 'leaf', 'pre')}"
@@ -420,8 +591,7 @@ ORACLE_SQL = {
     "categorical_cart_bins": f"WITH line AS (SELECT o_orderpriority, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS y FROM orders WHERE o_orderstatus IN ('F', 'O')), tot AS (SELECT sum(y)::DOUBLE AS E, sum(1 - y)::DOUBLE AS N FROM line), cats AS (SELECT 'o_orderpriority' AS feature, o_orderpriority AS c, sum(y)::DOUBLE AS ev, sum(1 - y)::DOUBLE AS nev FROM line GROUP BY 2), {oracles.category_groups('cats', 3, 'g')} SELECT feature, category, events, non_events, round({_woe('events', 'non_events')}, 6) + 0.0 AS woe, round({_iv('events', 'non_events')}, 6) + 0.0 AS iv FROM g, tot",
     "greedy_merge": _merge_sql(oracles.greedy("bins", 20, 5, "o")),
     "optimal_merge": _merge_sql(oracles.optimal("bins", 5, "o")),
-    # a feature without ascending runs is merged greedily
-    "optimal_merge_ascending": _merge_sql(oracles.optimal("bins", 5, "best", "AND v.woe >= p.woe") + ",\n" + oracles.greedy("bins", 20, 5, "most") + ", o AS (SELECT * FROM best WHERE feature IN (SELECT feature FROM best_top) UNION ALL SELECT * FROM most WHERE feature NOT IN (SELECT feature FROM best_top))"),
+    "optimal_merge_ascending": _monotone(">="),
     "associated": f"WITH {_PRICED} SELECT f1 AS feature1, f2 AS feature2, round(c, 6) + 0.0 AS correlation, measure FROM ({_associations([*LINE, 'revenue'], ['l_returnflag', 'l_linestatus', 'band'])}) WHERE abs(c) > 0.5",
     "drop_selection": _drops() + "SELECT feature, stage, reason FROM gone",
     "reduce_report": _drops() + "SELECT f AS feature, CASE WHEN stage IS NULL THEN 'kept' ELSE 'dropped' END AS status, stage AS dropped_at_stage FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_returnflag', 'l_linestatus', 'revenue', 'band']) AS f) LEFT JOIN gone ON gone.feature = f",
@@ -435,5 +605,24 @@ ORACLE_SQL = {
     "sample_random_size": "SELECT round(count(*) / round(count(*) * 0.1), 6) AS sampling_weight, CAST(round(count(*) * 0.1) AS BIGINT) AS n FROM orders",
     "schema_columns": "SELECT CAST(column_index - 1 AS INT) AS place, column_name AS name FROM duckdb_columns() WHERE table_name = 'nation'",
     "parquet_row_count": "SELECT count(*) AS n FROM lineitem",
-    "convert_roundtrip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "convert_roundtrip": f"SELECT {', '.join(SOLD)} FROM lineitem",
+    "convert_by_extension": "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders",
+    "csv_quoted": "SELECT p_partkey, 'a \"' || p_name || '\",' || chr(10) || p_brand AS label FROM part",
+    "table_stats": " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM duckdb_columns() WHERE table_name = '{t}') AS n_columns, true AS has_size" for t in ("lineitem", "orders", "events")),
+    "target_preview": "SELECT least(count(*), 1000) AS n, 'o_orderstatus' AS columns FROM orders",
+    **dict.fromkeys(("sas_plain", "sas_rle", "sas_rdc", "sas_to_parquet"), "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_nationkey::DOUBLE AS c_nationkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal, DATE '2001-02-03' + CAST(c_custkey % 1000 AS INT) AS day, TIMESTAMP '2001-02-03 04:05:06' + to_seconds(c_custkey) AS at FROM customer"),
+    "sas_columns": "SELECT * FROM (VALUES (0::INT, 'c_custkey', 'double'), (1, 'c_name', 'string'), (2, 'c_nationkey', 'double'), (3, 'c_acctbal', 'double'), (4, 'day', 'date'), (5, 'at', 'timestamp_ntz')) AS t(place, name, type)",
+    "optimal_merge_descending": _monotone("<="),
+    "optimal_merge_auto": _merge_sql(oracles.optimal("bins", 5, "o")),
+    "merge_of_few_bins": f"WITH {_BINS} SELECT feature, bin, round(lower, 6) AS lower, events, non_events FROM bins",
+    "correlation_matrix": f"WITH {_PRICED} " + " UNION ALL ".join(_corr(a, b, None) for a in [*LINE, "revenue"] for b in [*LINE, "revenue"]),
+    "matrix_pairs": f"WITH {_PRICED} SELECT * FROM (" + " UNION ALL ".join(_corr(a, b, None) for a, b in _pairs([*LINE, "revenue"])) + ") WHERE abs(r) > 0.1",
+    "column_kinds": "SELECT CASE WHEN data_type IN ('INTEGER', 'BIGINT', 'DOUBLE') THEN 'numeric' WHEN data_type = 'VARCHAR' THEN 'text' ELSE 'other' END AS kind, column_name AS name FROM duckdb_columns() WHERE table_name = 'lineitem'",
+    "drop_columns": "SELECT l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, 'l_quantity,l_discount,l_returnflag,l_linestatus' AS columns FROM lineitem GROUP BY 1",
+    "binary_targets": "SELECT * FROM (VALUES ('toxic', 'ok'), ('o_orderstatus', 'must be binary (0/1), or a mapping of its labels is needed'), ('l_linenumber', 'must be binary (0/1), or a mapping of its labels is needed'), ('n_regionkey', 'has one class only')) AS t(target, told)",
+    "gini_report_features": f"WITH {_CART}, {oracles.optimal('pre', 10, 'o')}, {oracles.numeric_stats('hist', 'o', 's')} SELECT feature, 'Numeric' AS feature_type, n_bins, events, round(iv, 6) + 0.0 AS iv, round(gini, 6) + 0.0 AS gini FROM s JOIN (SELECT feature, count(*) AS n_bins, sum(events) AS events FROM o GROUP BY 1) USING (feature)",
+    "csv_report_rows": _drops() + "SELECT stats.feature, CASE WHEN stage IS NULL THEN 'kept' ELSE 'dropped' END AS status, coalesce(stage, '') AS dropped_at_stage, coalesce(reason, '') AS reason, '0.0000' AS missing_ratio, printf('%.4f', gini) AS gini, printf('%.4f', iv) AS iv, CASE WHEN stats.feature IN ('l_returnflag', 'l_linestatus', 'band') THEN 'Categorical' ELSE 'Numeric' END AS feature_type FROM stats LEFT JOIN gone USING (feature)",
+    "summary_lines": _drops() + "SELECT 9::INT AS before, CAST(9 - count(*) AS INT) AS after, 0::INT AS by_missing, CAST(count(*) FILTER (stage = 'gini') AS INT) AS by_gini, CAST(count(*) FILTER (stage = 'correlation') AS INT) AS by_correlation FROM gone",
+    "waterfall": "SELECT * FROM (VALUES ('a', 'Correlated with target (Pearson 0.9900); dropped to protect target'), ('c', 'Correlated with b (Eta 0.9800); lower IV (0.2000 vs 0.3000)'), ('d', 'Correlated with e (Pearson 0.9700); higher frequency (2 vs 1)'), ('h', 'Correlated with g (CramersV 0.9500); higher missing ratio (0.2000 vs 0.1000)'), ('k', 'Correlated with j (Pearson 0.9400); alphabetical tie-break')) AS t(feature, reason)",
+    "sample_parsed_sizes": "SELECT o_orderstatus AS value, round(count(*) / CASE o_orderstatus WHEN 'F' THEN 30.0 ELSE 20.0 END, 6) AS sampling_weight, CAST(CASE o_orderstatus WHEN 'F' THEN 30 ELSE 20 END AS BIGINT) AS n FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1",
 }
