@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,12 +23,30 @@ def kind_of(path: str) -> str:
     return got
 
 
-def csv_schema(spark: SparkSession, path: str, rows: int = INFER_ROWS) -> T.StructType:
-    """Inferred from the header and the first rows (0: all). Dates and times stay text."""
-    options = {"header": "true", "inferSchema": "true", "preferDate": "false", "enforceSchema": "false"}
+def has_quoted_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the file has an odd number of quotes, that is, a field with a line end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def records(lines: list[str]) -> list[str]:
+    """Lines, of which those inside an open quote are joined."""
+    out, open_ = [], False
+    for line in lines:
+        if open_:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+        open_ ^= line.count('"') % 2 == 1
+    return out[:-1] if open_ and len(out) > 1 else out
+
+
+def csv_schema(spark: SparkSession, path: str, rows: int = INFER_ROWS, *, lines: bool = False) -> T.StructType:
+    """Inferred from the header and the first rows (0: all). Dates and times stay text. lines: fields may hold line ends."""
+    options = {"header": "true", "inferSchema": "true", "preferDate": "false", "enforceSchema": "false", "escape": '"', "multiLine": str(lines).lower()}
     if rows:
         head = spark.read.text(path).limit(rows + 1)
-        schema = _of_lines(spark, [r.value for r in head.collect()], options)
+        schema = _of_lines(spark, records([r.value for r in head.collect()]), options)
     else:
         schema = spark.read.options(**options).csv(path).schema
     return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)) else f.dataType) for f in schema])
@@ -38,12 +57,20 @@ def _of_lines(spark: SparkSession, lines: list[str], options: dict[str, str]) ->
     return spark.read.options(**options).csv(spark.sparkContext.parallelize(lines, 1)).schema
 
 
-def read(spark: SparkSession, path: str, infer_rows: int = INFER_ROWS) -> DataFrame:
+def read(spark: SparkSession, path: str, infer_rows: int = INFER_ROWS, *, quoted_lines: bool | None = None, bad_cells: str = "error") -> DataFrame:
+    """A table by its extension.
+
+    CSV: empty cells are null. A cell that doesn't fit the type inferred from the first rows is
+    an error when it is read, or null with ``bad_cells="null"``. Fields with line ends make a
+    file unsplittable, so a scan looks for them first, unless quoted_lines says.
+    """
     kind = kind_of(path)
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "csv":
-        return spark.read.schema(csv_schema(spark, path, infer_rows)).option("header", True).csv(path)
+        lines = has_quoted_lines(spark, path) if quoted_lines is None else quoted_lines
+        mode = {"error": "FAILFAST", "null": "PERMISSIVE"}[bad_cells]
+        return spark.read.schema(csv_schema(spark, path, infer_rows, lines=lines)).options(header=True, escape='"', multiLine=lines, mode=mode).csv(path)
     sas7bdat.register(spark)
     return spark.read.format("sas7bdat").load(path)
 
@@ -68,17 +95,34 @@ def parquet_rows(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def write(df: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """A folder of CSV or Parquet parts, by the path's extension."""
+def write(df: DataFrame, path: str, *, mode: str = "overwrite", single_file: bool = False) -> None:
+    """A folder of CSV or Parquet parts, by the path's extension; single_file: one file, written by one task."""
     kind = kind_of(path)
     if kind == "sas7bdat":
         raise ValueError("Unsupported output format 'sas7bdat'. Supported: csv, parquet")
-    out = df.write.mode(mode)
+    folder = f"{path}.parts" if single_file else path
+    out = df.coalesce(1) if single_file else df
     if kind == "csv":
         times = [F.col(f"`{f.name}`").cast("string").alias(f.name) if isinstance(f.dataType, T.DayTimeIntervalType) else F.col(f"`{f.name}`") for f in df.schema]
-        df.select(*times).write.mode(mode).option("header", True).csv(path)
+        out.select(*times).write.mode(mode).options(header=True, escape='"').csv(folder)
     else:
-        out.option("compression", "snappy").option("parquet.block.row.count.limit", ROW_GROUP).parquet(path)
+        out.write.mode(mode).option("compression", "snappy").option("parquet.block.row.count.limit", ROW_GROUP).parquet(folder)
+    if single_file:
+        sc = df.sparkSession.sparkContext
+        at, to = (sc._jvm.org.apache.hadoop.fs.Path(p) for p in (folder, path))
+        fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+        fs.delete(to, True)
+        fs.rename(part, to)
+        fs.delete(at, True)
+
+
+def put(path: str, data: bytes) -> None:
+    """Writes a file of bytes, wherever the path leads."""
+    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(data)
 
 
 def output_path(path: str, suffix: str, extension: str | None = None) -> str:
@@ -102,7 +146,7 @@ def convert(spark: SparkSession, source: str, target: str | None = None, infer_r
         wanted = kind_of(target)
     df = read(spark, source, infer_rows)
     if wanted == "csv":
-        write(df, target) if target.lower().endswith(".csv") else df.write.mode("overwrite").option("header", True).csv(target)
+        write(df, target) if target.lower().endswith(".csv") else df.write.mode("overwrite").options(header=True, escape='"').csv(target)
     else:
         df.write.mode("overwrite").option("compression", "snappy").option("parquet.block.row.count.limit", ROW_GROUP).parquet(target)
     return target

@@ -168,3 +168,99 @@ def test_tables(spark, tmp_path):
     assert tables.parquet_rows(spark, out) == 3 and tables.column_names(spark, out) == ["a", "b", "c"]
     with pytest.raises(ValueError, match="csv, parquet, sas7bdat"):
         tables.kind_of("x.xls")
+
+
+def test_csv_cells(spark, tmp_path):
+    p = tmp_path / "t.csv"
+    p.write_text('a,b\n1,"x, ""y""\nz"\n2,w\n')
+    assert [tuple(r) for r in tables.read(spark, str(p)).collect()] == [(1, 'x, "y"\nz'), (2, "w")]
+    p.write_text("a,b\n" + "1,x\n" * 50 + "oops,y\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        tables.read(spark, str(p), 10).collect()
+    assert tables.read(spark, str(p), 10, bad_cells="null").where("a is null").count() == 1
+    with pytest.raises(Exception, match="(?i)not exist|not_found"):
+        tables.read(spark, str(tmp_path / "none.csv"))
+    out = str(tmp_path / "one.parquet")
+    tables.write(spark.range(100).repartition(5), out, single_file=True)
+    import os
+
+    assert os.path.isfile(out) and spark.read.parquet(out).count() == 100 and not os.path.exists(out + ".parts")
+
+
+def brute_chunks(rows, prebins):
+    rows, out = sorted(rows), []
+    size = -(-len(rows) // prebins)
+    for k in range(0, len(rows), size):
+        part = rows[k : k + size]
+        out.append((min(r[0] for r in part), sum(r[2] for r in part), sum(1 - r[2] for r in part)))
+    return out
+
+
+@pytest.mark.parametrize("ties", [["id"], []])
+def test_quantile_bins_of_equal_values(spark, ties):
+    rng = random.Random(8)
+    rows = [(0.0 if rng.random() < 0.95 else float(rng.randint(-3, 9)), i, int(rng.random() < 0.4)) for i in range(1003)]
+    df = target.prepared(frame(spark, rows, "x double, id int, y int"), "y", None, None, None).repartition(5)
+    hist = histogram.histogram(df, ["x"], "double")
+    got = binning.quantile_prebins(hist, histogram.long_form(df, ["x"], "double", *ties), 20, ties).orderBy("bin").collect()
+    want = brute_chunks(rows if ties else [(x, y, y) for x, _, y in rows], 20)
+    assert [(b.lower, b.events, b.non_events) for b in got] == want
+    assert got[-1].upper == math.inf and [b.upper for b in got[:-1]] == [b.lower for b in got[1:]]
+
+
+def test_correlation_of_many_columns(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 40)) + 1e6 * np.arange(40)
+    x[:, 1] = 2 * x[:, 0] + 5
+    x[:, 2] = 7.0
+    gone = rng.random(x.shape) < 0.1
+    w = rng.integers(0, 3, 300).astype(float)
+    names = [f"c{i}" for i in range(40)]
+    df = frame(spark, [(*(None if g else float(v) for v, g in zip(r, m)), float(q)) for r, m, q in zip(x, gone, w)], ", ".join(f"{c} double" for c in names) + ", w double").repartition(4)
+    for block in (400, 7):
+        monkeypatch.setattr(association, "BLOCK", block)
+        m = association.correlation_matrix(df, names, F.col("w"))
+        for i in range(40):
+            for j in range(i):
+                on = ~gone[:, i] & ~gone[:, j] & (w > 0)
+                a, b, q = x[on, i], x[on, j], w[on]
+                a, b = a - np.average(a, weights=q), b - np.average(b, weights=q)
+                if j == 2 or i == 2:
+                    assert np.isnan(m[i, j])
+                else:
+                    assert abs(m[i, j] - (q * a * b).sum() / math.sqrt((q * a * a).sum() * (q * b * b).sum())) < 1e-9
+    assert association.matrix_pairs(m, names, 0.9) == [("c0", "c1", pytest.approx(1.0))]
+    odd = frame(spark, [(1.0, 2.0), (2.0, float("nan")), (3.0, 4.0)], "a double, b double")
+    assert math.isnan(association.pearson_pairs(odd, ["a", "b"])[0][2])
+
+
+def test_zero_weights_and_many_categories(spark):
+    df = frame(spark, [(1.0, 2.0, 1.0), (99.0, -5.0, 0.0), (2.0, 4.0, 1.0), (-7.0, 50.0, 0.0), (3.0, 6.0, 1.0)], "a double, b double, w double")
+    assert association.pearson_pairs(df, ["a", "b"], F.col("w")) == [("a", "b", pytest.approx(1.0))]
+    for n, there in ((100, True), (101, False)):
+        df = frame(spark, [(f"k{i % n}", "x" if i % 2 else "y", float(i % n)) for i in range(4 * n)], "c string, d string, v double")
+        got = association.associated_pairs(df, 0.5)
+        assert any("c" in (p.feature1, p.feature2) for p in got) == there
+
+
+def test_samples_of_equal_rows(spark):
+    df = frame(spark, [("a", 1)] * 70 + [("a", 2)] * 20 + [("b", 1)] * 10, "s string, v int").repartition(4)
+    for n in (1, 35, 69, 71, 100):
+        assert sampling.random_sample(df, n).count() == n
+    got = sampling.stratified_sample(df, "s", {"a": 80, "b": 10})
+    assert sorted((r.s, r.n) for r in got.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()) == [("a", 80), ("b", 10)]
+    whole = {(r.s, r.v): r.n for r in df.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(r.n <= whole[r.s, r.v] for r in got.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).collect())
+    same = [sorted(map(tuple, sampling.random_sample(spark.range(5000).repartition(k), 400, seed=3).collect())) for k in (2, 7)]
+    assert same[0] == same[1] and len(set(same[0])) == 400
+
+
+def test_decimals_are_numbers(spark):
+    import decimal
+
+    df = frame(spark, [(i % 2, decimal.Decimal(i % 2 * 10 + i), i % 3 == 0) for i in range(40)], "y int, d decimal(10,2), b boolean")
+    with pytest.warns(UserWarning, match="not analysed: b"):
+        r = reduced(df, ReduceConfig("y", correlation_threshold=1.0))
+    assert set(r.features) == {"d"}

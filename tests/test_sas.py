@@ -8,120 +8,17 @@ import pandas as pd
 import pytest
 
 from tamis.sources import sas7bdat as sas
+from tamis.sources import sas7bdat_write as write
 from tamis.sources import tables
 
 COLUMNS = [("n", 8, 1, ""), ("short", 4, 1, "BEST"), ("day", 8, 1, "DATE"), ("at", 8, 1, "DATETIME"), ("clock", 8, 1, "TIME"), ("txt", 12, 2, "$")]
 
 
-def rle(row: bytes) -> bytes:
-    out, at = b"", 0
-    while at < len(row):
-        n = 1
-        while at + n < len(row) and row[at + n] == row[at] and n < 17:
-            n += 1
-        if n >= 3 and row[at] in (0, 0x20):
-            out += bytes([(0xF0 if row[at] == 0 else 0xE0) | n - 2])
-        else:
-            n = 1
-            out += bytes([0x80, row[at]])
-        at += n
-    return out
-
-
-def rdc(row: bytes) -> bytes:
-    items, at = [], 0
-    while at < len(row):
-        n = 1
-        while at + n < len(row) and row[at + n] == row[at] and n < 18:
-            n += 1
-        if n >= 3:
-            items.append((1, bytes([n - 3, row[at]])))
-        else:
-            n = 1
-            items.append((0, row[at : at + 1]))
-        at += n
-    out = b""
-    for k in range(0, len(items), 16):
-        some = items[k : k + 16]
-        out += struct.pack(">H", sum(bit << 15 - j for j, (bit, _) in enumerate(some))) + b"".join(x for _, x in some)
-    return out
-
-
-def sas_file(path, rows, *, wide=False, order="<", compression="", page=4096, mix=0, count=None, encoding=20):
-    """rows: bytes of rows laid out as COLUMNS. mix: rows that share the page of the metadata."""
-    word, front = (8, 40) if wide else (4, 24)
-
-    def integer(v):
-        return struct.pack(order + ("Q" if wide else "I"), v)
-
-    def sig(v):
-        low = struct.pack(order + "I", v)
-        if not wide:
-            return low
-        return integer(v | 0xFFFFFFFF << 32) if v >= 0xFFFFF000 and v != sas.FORMAT or v == sas.FORMAT else low + bytes(4)
-
-    width = sum(c[1] for c in COLUMNS)
-    size = bytearray(808 if wide else 480)
-    size[: len(sig(sas.ROW_SIZE))] = sig(sas.ROW_SIZE)
-    for k, v in ((5, width), (6, len(rows) if count is None else count), (9, len(COLUMNS)), (10, 0), (15, mix)):
-        size[k * word : (k + 1) * word] = integer(v)
-    names = b"".join(c[0].encode().ljust(8) for c in COLUMNS)
-    formats = b"".join(c[3].encode().ljust(12) for c in COLUMNS)
-    literal = {"": b" " * 8, "rle": b"SASYZCRL", "rdc": b"SASYZCR2"}[compression]
-    body = bytes(10) + literal + bytes(6) + names + formats
-    body = struct.pack(order + "H", len(body) + 2) + body
-    base = 26
-    text = sig(sas.COLUMN_TEXT) + body + bytes(-len(body) % 8)
-    name = sig(sas.COLUMN_NAME) + bytes(8) + b"".join(struct.pack(order + "4H", 0, base + 8 * k, len(c[0]), 0) for k, c in enumerate(COLUMNS)) + bytes(word + 4)
-    attr, at = sig(sas.COLUMN_ATTRS) + bytes(8), 0
-    for _, w, kind, _ in COLUMNS:
-        attr += integer(at) + struct.pack(order + "IHBB", w, 0, kind, 0)
-        at += w
-    attr += bytes(word + 4)
-    subs = [(bytes(size), 0, 0), (sig(sas.COLUMN_SIZE) + integer(len(COLUMNS)) + bytes(word), 0, 0), (text, 0, 1), (name, 0, 1), (attr, 0, 1)]
-    for k, c in enumerate(COLUMNS):
-        f = bytearray(sig(sas.FORMAT) + bytes(60))
-        struct.pack_into(order + "6H", f, 22 + 3 * word, 0, base + 8 * len(COLUMNS) + 12 * k, len(c[3]), 0, 0, 0)
-        subs.append((bytes(f), 0, 0))
-
-    def page_of(kind, blocks, subs, plain=b""):
-        out = bytearray(page)
-        struct.pack_into(order + "HHH", out, front - 8, kind, blocks, len(subs))
-        end = page
-        for k, (data, compressed, what) in enumerate(subs):
-            end -= len(data)
-            out[end : end + len(data)] = data
-            p = front + k * 3 * word
-            out[p : p + 2 * word + 2] = integer(end) + integer(len(data)) + bytes([compressed, what])
-        start = -(-(front + len(subs) * 3 * word) // 8) * 8
-        assert start + len(plain) <= end
-        out[start : start + len(plain)] = plain
-        return bytes(out)
-
-    if compression:
-        pages, pack = [page_of(sas.META, len(subs), subs)], rle if compression == "rle" else rdc
-        packed = [(p, 4, 1) if len(p := pack(r)) < width else (r, 0, 1) for r in rows]
-        pages += [page_of(sas.META, 20, packed[k : k + 20]) for k in range(0, len(packed), 20)]
-    else:
-        pages, rest = [page_of(sas.MIX if mix else sas.META, len(subs) + mix, subs, b"".join(rows[:mix]))], rows[mix:]
-        each = (page - front) // width
-        pages += [page_of(sas.DATA, len(rest[k : k + each]), [], b"".join(rest[k : k + each])) for k in range(0, len(rest), each)]
-    head = bytearray(1024)
-    head[12:32] = sas.MAGIC
-    head[32], head[35], head[37], head[70] = 0x33 if wide else 0, 0x33 if wide else 0, 1 if order == "<" else 0, encoding
-    head[84:92], head[92:100] = b"SAS FILE", b"T       "
-    pad = 4 if wide else 0
-    struct.pack_into(order + "II", head, 196 + pad, 1024, page)
-    head[204 + pad : 204 + pad + word] = integer(len(pages))
-    path.write_bytes(bytes(head) + b"".join(pages))
+def sas_file(path, rows, **how):
+    path.write_bytes(write.sas_file(COLUMNS, rows, **how))
     return str(path)
 
 
-def number(v, width, order):
-    raw = struct.pack(order + "d", v)
-    return raw[8 - width :] if order == "<" else raw[:width]
-
-
 def rows_for(n, order):
     out, expected = [], []
     for k in range(n):
@@ -129,7 +26,7 @@ def rows_for(n, order):
         gone = k % 7 == 3
         txt = "" if k % 5 == 4 else f"ä{k}" if k % 2 else "x" * 12
         numeric = [math.nan if gone else k / 8, float(k), float(day), at, clock]
-        out.append(b"".join(number(v, c[1], order) for v, c in zip(numeric, COLUMNS, strict=False)) + txt.encode().ljust(12))
+        out.append(b"".join(write.number(v, c[1], order) for v, c in zip(numeric, COLUMNS, strict=False)) + txt.encode().ljust(12))
         expected.append((None if gone else k / 8, float(k), dt.date(1960, 1, 1) + dt.timedelta(day), dt.datetime(1960, 1, 1) + dt.timedelta(seconds=at), dt.timedelta(seconds=clock), txt or None))
     return out, expected
 
