@@ -12,27 +12,40 @@ check digits, and whether a card number's check digit holds are kept.
 Parts of names get pronounceable surrogates of the same script and case; the ending goes
 with the gender of the title; a name whose title tells none takes the one that another title
 in the document tells. These come from a keyed hash, so their distinctness is
-checked over all documents: names are gathered, and while two names share a surrogate or a
-surrogate is itself a name of the corpus, all are made one syllable longer.
-
-Nulls stay null; texts without entities are returned as they are; other columns are kept.
+checked over all documents: names are gathered, and of names that share a surrogate all but
+the least, and those whose surrogate is itself a name of the corpus, are given another one,
+until there are none. Such exceptions are few, as names are made a syllable longer, all
+together, if there were more than ``EXCEPTIONS``; a worker holds at most so many.
+
+The key is the session's ``spark.tamis.surrogate.key``; with it surrogates are the same in
+every run. Where it is unset each call draws a key of its own, which nobody can know.
+
+Nulls stay null; texts without entities (empty ones, too) are returned as they are. Repeated
+rows and ids are rewritten alike. An empty table gives an empty result. A very long text is
+held whole by one worker. Other columns are kept; columns that are added get underscores in
+front if docs has their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, map_arrow, prepare, stored, table
+from .common import batch, map_arrow, prepare, schema_of, stored, table, unused
 
-KEY = b"tamis surrogate key"
-#: Syllables after the first of a name's surrogate, at first and at most.
-SYLLABLES, MOST = 3, 12
+KEY_SETTING = "spark.tamis.surrogate.key"
+#: Syllables of a name's surrogate before its ending, at first.
+SYLLABLES = 3
+#: Turns after which names are made longer; and names whose first surrogate was taken, of all documents, at most.
+TURNS = 12
+EXCEPTIONS = 50_000
 
 # ---- detection
 
@@ -130,7 +143,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def keyed(key: bytes, *parts) -> int:
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=key[:64], digest_size=16).digest(), "big")
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+    return int.from_bytes(hashlib.blake2b("\0".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=key, digest_size=16).digest(), "big")
 
 
 def permuted(key: bytes, tweak: str, x: int, size: int, back: bool = False) -> int:
@@ -252,10 +266,10 @@ def script(text: str) -> str:
     return "greek" if "Ͱ" <= c <= "Ͽ" else "cyrillic" if "Ѐ" <= c <= "ӿ" else "latin"
 
 
-def of_name(key: bytes, name: str, gender: str, syllables: int) -> str:
-    """A name of the same script and case, whose ending goes with the gender."""
+def of_name(key: bytes, name: str, gender: str, syllables: int, turn: int = 0) -> str:
+    """A name of the same script and case, whose ending goes with the gender; the next one for each turn."""
     consonants, vowels, men, women = SOUNDS[script(name)]
-    x, out = keyed(key, "name", gender, name.casefold()), ""
+    x, out = keyed(key, "name", gender, name.casefold(), *([turn] if turn else [])), ""
     for _ in range(syllables):
         x, c = divmod(x, len(consonants))
         x, v = divmod(x, len(vowels))
@@ -269,12 +283,23 @@ def of_name(key: bytes, name: str, gender: str, syllables: int) -> str:
 SURROGATE: dict[str, Callable[[bytes, str], str]] = {"email": of_email, "card": of_card, "ipv4": of_ipv4, "ipv6": of_ipv6, "phone": of_phone, "ssn": of_ssn, "iban": of_iban}
 
 
-def replaced(text: str, key: bytes = KEY, syllables: int = SYLLABLES) -> tuple[str, list[str]]:
+@dataclass(frozen=True)
+class Names:
+    """How names are replaced: syllables, and the turns of the names whose first surrogate was taken."""
+
+    syllables: int = SYLLABLES
+    turns: dict[tuple[str, str], int] = field(default_factory=dict)
+
+    def surrogate(self, key: bytes, name: str, gender: str) -> str:
+        return of_name(key, name, gender, self.syllables, self.turns.get((name.casefold(), gender), 0))
+
+
+def replaced(text: str, key: bytes, names: Names | None = None) -> tuple[str, list[str]]:
     """The text with surrogates, and the kinds replaced."""
-    out, at, kinds = [], 0, []
+    out, at, kinds, names = [], 0, [], names or Names()
     for a, b, kind, gender in entities(text):
         old = text[a:b]
-        out += [text[at:a], of_name(key, old, gender, syllables) if kind == "name" else SURROGATE[kind](key, old)]
+        out += [text[at:a], names.surrogate(key, old, gender) if kind == "name" else SURROGATE[kind](key, old)]
         at = b
         kinds.append(kind)
     return ("".join([*out, text[at:]]) if kinds else text), kinds
@@ -294,42 +319,63 @@ def names_found(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.where("text is not null").select("text"), make, "name string, gender string").distinct()
 
 
-def syllables_needed(docs: DataFrame, key: bytes = KEY) -> int:
-    """The least length at which all names of the corpus have surrogates of their own, none of them a name of the corpus."""
-    names = stored(names_found(docs), "pii-names")
-    if names.isEmpty():
-        return SYLLABLES
-    for n in range(SYLLABLES, MOST):
+def with_surrogate(names: DataFrame, key: bytes, syllables: int) -> DataFrame:
+    """(name, gender, turn, surrogate) of rows (name, gender, turn)."""
 
-        def make(n=n):
-            def each(b):
-                got = [of_name(key, x, g, n) for x, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                yield batch(["name", "gender", "surrogate"], *b.columns, pa.array(got, pa.string()))
+    def make():
+        def each(b):
+            got = [of_name(key, x, g, syllables, t) for x, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            yield batch(["name", "gender", "turn", "surrogate"], *b.columns, pa.array(got, pa.string()))
 
-            return each
+        return each
 
-        made = stored(map_arrow(names, make, "name string, gender string, surrogate string"), "pii-surrogates")
-        clash = made.groupBy("surrogate").agg(F.countDistinct("name", "gender").alias("n")).where("n > 1").select("surrogate")
-        real = made.select("surrogate").join(names.select(F.col("name").alias("surrogate")), "surrogate", "left_semi")
-        if clash.union(real).isEmpty():
-            return n
-    return MOST
+    return map_arrow(names.select("name", "gender", "turn"), make, "name string, gender string, turn int, surrogate string")
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, *, counted: bool = False) -> DataFrame:
+def distinct_names(docs: DataFrame, key: bytes, syllables: int = SYLLABLES, most: int = EXCEPTIONS) -> Names:
+    """Surrogates that differ for all names of the corpus, none of them a name of the corpus."""
+    found = stored(names_found(docs), "pii-names")
+    real = found.select(F.col("name").alias("surrogate")).distinct()
+    while True:
+        made = stored(with_surrogate(found.withColumn("turn", F.lit(0)), key, syllables), "pii-surrogates")
+        for _ in range(TURNS):
+            # the one that has kept its surrogate longest stays, the least name on ties
+            rank = F.struct("turn", "name", "gender")
+            shared = made.groupBy("surrogate").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1").select("surrogate", F.col("first.name").alias("name"), F.col("first.gender").alias("gender"))
+            twice = made.join(shared.select("surrogate"), "surrogate", "left_semi").join(shared.select("name", "gender"), ["name", "gender"], "left_anti")
+            taken = made.join(real, "surrogate", "left_semi")
+            wrong = stored(twice.union(taken.select(twice.columns)).select("name", "gender", "turn").distinct(), "pii-wrong")
+            n = wrong.count()
+            if not n:
+                return Names(syllables, {(r.name, r.gender): r.turn for r in made.where("turn > 0").toLocalIterator()})
+            if n + made.where("turn > 0").count() > most:
+                break
+            again = with_surrogate(wrong.withColumn("turn", F.col("turn") + 1), key, syllables)
+            made = stored(made.join(wrong, ["name", "gender"], "left_anti").unionByName(again), "pii-surrogates")
+        syllables += 1
+
+
+def key_of(spark: SparkSession) -> bytes:
+    told = spark.conf.get(KEY_SETTING, None)
+    return told.encode() if told else secrets.token_bytes(32)
+
+
+def with_surrogates(docs: DataFrame, key: bytes | None = None, *, counted: bool = False, syllables: int = SYLLABLES, most: int = EXCEPTIONS) -> DataFrame:
     """docs with surrogates in text; n_chars, if there, counted anew where text changed; counted adds n_entities and kinds."""
     spark = docs.sparkSession
     prepare(spark)
-    n, names = syllables_needed(docs, key), docs.columns
+    key = key_of(spark) if key is None else key
+    shared, names = spark.sparkContext.broadcast(distinct_names(docs, key, syllables, most)), docs.columns
+    added = [unused(docs, c) for c in ("n_entities", "kinds")] if counted else []
 
     def make():
-        k = names.index("text")
+        k, how = names.index("text"), shared.value
 
         def each(b):
             texts, kinds = b.column(k).to_pylist(), []
             counts = b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
             for i, t in enumerate(texts):
-                new, got = replaced(t, key, n) if t else (t, [])
+                new, got = replaced(t, key, how) if t else (t, [])
                 if got:
                     texts[i] = new
                     if counts:
@@ -341,12 +387,11 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, *, counted: bool = False)
                 cols[names.index("n_chars")] = pa.array(counts, b.schema.field("n_chars").type)
             if counted:
                 cols += [pa.array([len(x) for x in kinds], pa.int64()), pa.array([",".join(sorted(set(x))) for x in kinds], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["n_entities", "kinds"] if counted else [])])
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
         return each
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_arrow(docs, make, schema + ", n_entities long, kinds string" * counted)
+    return map_arrow(docs, make, schema_of(docs) + "".join(f", `{c}` {kind}" for c, kind in zip(added, ("long", "string"))))
 
 
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
