@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tamis.llm import ann, bpe, decontam, language, near_dedup, pii, secrets, substring, token_files, url_filter
 
+KEY = b"the tests' key"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, node string, h long"
 
 
@@ -164,7 +165,7 @@ def test_paths_are_contracted(spark):
 
 def test_pii(spark):
     text = "Write to Ann.Lee7@mail.example.org or +1 (743) 555-3824; card 4111 1111 1111 1111, 10.1.2.3, Mr. Smith and Mrs. Ivanova. Again Mr. Smith, ann.lee7@mail.example.org."
-    new, kinds = pii.replaced(text)
+    new, kinds = pii.replaced(text, KEY)
     assert kinds.count("email") == 2 and {"phone", "card", "ipv4", "name"} <= set(kinds)
     for secret in ("Ann.Lee7", "555-3824", "4111 1111", "10.1.2.3", "Smith", "Ivanova"):
         assert secret not in new
@@ -173,11 +174,11 @@ def test_pii(spark):
     assert new.split("Mr. ")[1].split()[0] == new.split("Mr. ")[2].split(",")[0]
     assert new.split("Mrs. ")[1].split(".")[0].endswith("a")
     assert len({pii.moved(b"k", "t", x, 97) for x in range(97)}) == 97 and all(pii.moved(b"k", "t", x, 97) != x for x in range(97))
-    assert pii.luhn("".join(filter(str.isdigit, pii.of_card(pii.KEY, "4111-1111-1111-1111")))) == 0
+    assert pii.luhn("".join(filter(str.isdigit, pii.of_card(KEY, "4111-1111-1111-1111")))) == 0
     clean = "Version 1.2.3 of 2023-01-02, at 12:30, with 100 000 rows and a total of 3.14."
     rows = [(1, text), (1, text), (2, None), (3, ""), (4, clean), (None, clean)]
     df = docs(spark, rows)
-    got = pii.with_surrogates(df)
+    got = pii.with_surrogates(df, KEY)
     assert got.columns == df.columns
     by = {(r.doc_id, r.text, r.n_chars) for r in got.collect()}
     assert by == {(1, new, len(new)), (2, None, 0), (3, "", 0), (4, clean, len(clean)), (None, clean, len(clean))}
@@ -190,17 +191,54 @@ def test_pii_is_whole():
         for after in ("", " EUR 50", " BIC", " BIC COBADEFF 2024", " 1234", " bank"):
             assert spans(f"to {iban}{after}") == [(iban, "iban")], iban + after
         assert spans(f"{iban} DE89 3704 0044 0532 0130 00") == [(iban, "iban"), ("DE89 3704 0044 0532 0130 00", "iban")]
-        assert pii.iban_rest(pii.of_iban(pii.KEY, iban)) == 1
+        assert pii.iban_rest(pii.of_iban(KEY, iban)) == 1
     for phone in ("+33 1 23 45 67 89", "555 123 4567", "030 1234567", "01 23 45 67 89", "020 7946 0958", "+1 (743) 555-3824", "555-123-4567"):
-        assert spans(f"call {phone}, now") == [(phone, "phone")] and pii.of_phone(pii.KEY, phone) != phone
+        assert spans(f"call {phone}, now") == [(phone, "phone")] and pii.of_phone(KEY, phone) != phone
     for clean in ("100 000 rows", "of 01-02-2023 12:30", "2023 01 02", "3.14 and 1 000 000 or 12 345 678", "BE68 5390 0754 7035 EUR"):
         assert spans(clean) == [], clean
-    new, kinds = pii.replaced("Smith came. Dr. Smith met Mr. Smith's son; SMITH left, Smith too. Smithers and a smith stayed with Mrs. Ivanova.")
+    new, kinds = pii.replaced("Smith came. Dr. Smith met Mr. Smith's son; SMITH left, Smith too. Smithers and a smith stayed with Mrs. Ivanova.", KEY)
     assert kinds == ["name"] * 6 and "Smithers and a smith" in new
     first = new.split()[0]
     assert new.startswith(f"{first} came. Dr. {first} met Mr. {first}'s son; {first.upper()} left, {first} too.") and first != "Smith"
 
 
+def test_pii_coreference():
+    for text, gone in (
+        ("Dear Mr. Smith, later Smith said hello. Dr. Smith agreed with Mrs. Smith.", ["Smith"]),
+        ("My name is John Miller. Miller lives here", ["John", "Miller"]),
+        ("Call 555 123 4567 or 07911 123456", ["555", "4567", "07911", "123456"]),
+    ):
+        new, _ = pii.replaced(text, KEY)
+        assert not any(x in new for x in gone), new
+    new, _ = pii.replaced("Dear Mr. Smith, later Smith said hello to Dr. Smith.", KEY)
+    words = new.replace(",", "").replace(".", "").split()
+    assert words[2] == words[4] == words[-1]
+
+
+def test_pii_names_are_distinct(spark):
+    rng = random.Random(3)
+    people = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)).capitalize() for _ in range(1500)})
+    rows = [(k, f"Mr. {p} met Mrs. {q}.") for k, (p, q) in enumerate(zip(people[::2], people[1::2]))]
+    for most in (50_000, 2):  # some exceptions; too many, so longer names
+        got = pii.with_surrogates(docs(spark, rows), KEY, syllables=2, most=most).collect()
+        of = {}
+        for r, (_, t) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+            for old, new in zip(t.replace(".", "").split()[1::3], r.text.replace(".", "").split()[1::3]):
+                of.setdefault(old, set()).add(new)
+        made = [n for x in of.values() for n in x]
+        assert all(len(x) == 1 for x in of.values()) and len(set(made)) == len(of) == len(rows) * 2 and not set(made) & set(people)
+    spark.conf.set(pii.KEY_SETTING, "one key")
+    try:
+        a, b = (sorted(pii.with_surrogates(docs(spark, rows[:5])).collect()) for _ in range(2))
+        assert a == b
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert sorted(pii.with_surrogates(docs(spark, rows[:5])).collect()) != a
+    clash = spark.createDataFrame([(1, "Mr. Miller", 1, "x")], "doc_id long, text string, n_entities int, `Kinds` string")
+    out = pii.with_surrogates(clash, KEY, counted=True)
+    assert out.columns == ["doc_id", "text", "n_entities", "Kinds", "_n_entities", "_kinds"] and out.first()._n_entities == 1
+
+
 def brute_classes(rows):
     sets = []
     for _, t in rows:

@@ -18,7 +18,7 @@ def test_run(spark, tmp_path):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(got) == [1, 4, 8, 9]
     codec, cut = bpe.codec_of(bpe.default_path()), decontam.cut(rows[3][1].encode(), [(60, 80)]).decode()
-    for i, want in ((1, text(1)), (4, cut), (8, pii.replaced(rows[7][1])[0]), (9, text(5))):
+    for i, want in ((1, text(1)), (4, cut), (8, pii.replaced(rows[7][1], b"the key")[0]), (9, text(5))):
         ids = codec.encode(want)
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(np.frombuffer(ids, "<u4")), hashlib.sha256(ids).hexdigest())
         assert got[i].decoded_sha256 == hashlib.sha256(want.encode()).hexdigest()
