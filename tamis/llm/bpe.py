@@ -2,11 +2,16 @@
 
 The leaves hold rank and position of each adjacent pair; the root is the leftmost pair
 of the lowest rank. A merge updates three leaves, each in logarithmic time, until no
-pair can be merged. Pieces are cut by the vocabulary's own pattern; a task remembers the
-ids of at most ``CACHE`` pieces.
+pair can be merged. Pieces are cut by the vocabulary's own pattern. Pieces that a worker
+hasn't met are merged together, a segment tree to a row of one array for those of up to
+``WIDTHS[-1]`` bytes; a longer piece has a tree of its own. A worker remembers the ids of at
+most ``CACHE`` pieces, and as many older ones.
 
 Nulls encode as an empty text. Special tokens in a text become their ids, as the
-tokenizers library does by default. Texts and pieces may be of any length.
+tokenizers library does by default. Texts and pieces may be of any length; texts are cut into
+pieces ``GROUP`` characters (or one text) at a time. Repeated rows are encoded one by one, ties
+between pairs go to the leftmost, an empty table gives an empty result. doc_id and text are
+read alone, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -24,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, prepare, table
 
-CACHE = 120_000
+CACHE = 200_000
+GROUP = 2_000_000
 NO_PAIR = 1 << 62
+#: Bytes of the pieces that are merged together, by the width of their trees; and what their leaves hold without a pair.
+WIDTHS, NO_LEAF = (4, 8, 16, 32), np.int32(1 << 30)
 
 
 def byte_letters() -> dict[str, int]:
@@ -100,7 +108,72 @@ class Codec:
             self.token[i] = t.encode()
         self.pieces = piece_cutter()
         self.cut = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.packed = Packed(self.merge)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        # the pairs as arrays: names (first << 32 | second) in order, their ranks, and what a rank merges to
+        order = sorted(self.pairs, key=lambda p: p[0] << 32 | p[1])
+        self.pair_names = np.array([a << 32 | b for a, b in order] or [0], np.int64)
+        self.pair_ranks = np.array([self.pairs[p][0] for p in order] or [NO_LEAF >> 5], np.int32)
+        self.merged_to = np.zeros(1 + int(self.pair_ranks.max()), np.int32)
+        for rank, to in self.pairs.values():
+            self.merged_to[rank] = to
+
+    def leaves(self, first: np.ndarray, second: np.ndarray, place) -> np.ndarray:
+        """rank << 5 | place of pairs of symbols, NO_LEAF where they don't merge (or second is negative)."""
+        name = first.astype(np.int64) << 32 | np.maximum(second, 0)
+        at = np.minimum(np.searchsorted(self.pair_names, name), len(self.pair_names) - 1)
+        return np.where((self.pair_names[at] == name) & (second >= 0), self.pair_ranks[at] << 5 | place, NO_LEAF).astype(np.int32)
+
+    def merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The packed ids of pieces of at most ``width`` bytes: row i of the arrays is the tree of piece i."""
+        rows, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        filled = np.arange(width) < sizes[:, None]
+        symbols = np.full((rows, width + 1), -1, np.int32)
+        symbols[:, :width][filled] = np.array(self.single, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
+        node = np.full((rows, 2 * width), NO_LEAF, np.int32)
+        node[:, width : 2 * width - 1] = self.leaves(symbols[:, : width - 1], symbols[:, 1:width], np.arange(width - 1))
+        for k in range(width - 1, 0, -1):
+            np.minimum(node[:, 2 * k], node[:, 2 * k + 1], out=node[:, k])
+        after = np.broadcast_to(np.arange(1, width + 2), (rows, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width), (rows, width + 1)).copy()
+        on = np.flatnonzero(node[:, 1] < NO_LEAF)
+        while len(on):
+            low = node[on, 1]
+            a, to = low & 31, self.merged_to[low >> 5]
+            b = after[on, a]
+            c = np.minimum(after[on, b], width)  # the symbol at the end is always -1
+            symbols[on, a], symbols[on, b] = to, -1
+            after[on, a], before[on, c] = c, a
+            p = before[on, a]
+            has = p >= 0
+            node[on, width + b] = NO_LEAF
+            node[on, width + a] = self.leaves(to, symbols[on, c], a)
+            q, some = p[has], on[has]
+            node[some, width + q] = self.leaves(symbols[some, q], to[has], q)
+            for who, leaf in ((on, b), (on, a), (some, q)):
+                k = leaf + width
+                for _ in range(width.bit_length() - 1):
+                    k = k >> 1
+                    node[who, k] = np.minimum(node[who, 2 * k], node[who, 2 * k + 1])
+            on = on[node[on, 1] < NO_LEAF]
+        left = symbols >= 0
+        raw, ends = symbols[left].astype("<u4").tobytes(), np.cumsum(left.sum(axis=1) * 4).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def merge_all(self, pieces: list[str]) -> list[bytes]:
+        """The packed ids of pieces."""
+        raw = [p.encode() for p in pieces]
+        out: list[bytes] = [b""] * len(raw)
+        sizes, low = np.fromiter(map(len, raw), np.int64, len(raw)), 0
+        for width in WIDTHS:
+            at = np.flatnonzero((sizes > low) & (sizes <= width)).tolist()
+            for k, ids in zip(at, self.merge_rows([raw[k] for k in at], width) if at else (), strict=True):
+                out[k] = ids
+            low = width
+        for k in np.flatnonzero(sizes > low).tolist():
+            ids = self.merge(pieces[k])
+            out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def merge(self, piece: str) -> list[int]:
         """The ids of one piece: merges the leftmost pair of the lowest rank until none is left."""
@@ -133,50 +206,53 @@ class Codec:
                 tree.set(before[a], key(before[a], a))
         return [s for s in symbols if s >= 0]
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers."""
+    def parts(self, text: str | None) -> list[str]:
+        """The pieces of a text, and its special tokens."""
         if not text:
-            return b""
-        get = self.packed.__getitem__
+            return []
         if self.cut is None or not any(t in text for t in self.special):
-            return b"".join(map(get, self.pieces(text)))
-        out = []
-        for part in self.cut.split(text):
-            if part in self.special:
-                out.append(struct.pack("<I", self.special[part]))
-            elif part:
-                out.extend(map(get, self.pieces(part)))
-        return b"".join(out)
+            return self.pieces(text)
+        return [p for part in self.cut.split(text) if part for p in ([part] if part in self.special else self.pieces(part))]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts, as little-endian unsigned 32-bit integers."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= GROUP):
+                size += len(texts[end] or "")
+                end += 1
+            out += self._encode_group(texts[at:end])
+            at = end
+        return out
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        known, older, cut = self.known, self.older, list(map(self.parts, texts))
+        new = set().union(*cut).difference(known)
+        if older:
+            back = new.intersection(older)
+            known.update((p, older[p]) for p in back)
+            new -= back
+        for t in new.intersection(self.special):
+            known[t] = struct.pack("<I", self.special[t])
+        ask = list(new.difference(self.special))
+        known.update(zip(ask, self.merge_all(ask), strict=True))
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for p in ask:
+            if len(p) > 64:  # long pieces aren't kept
+                del known[p]
+        if len(known) > CACHE:
+            self.older, self.known = known, {}
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-class Packed(dict):
-    """Piece -> packed ids, of bounded size: once full it becomes the older half, from which used pieces return."""
-
-    def __init__(self, merge):
-        super().__init__()
-        self.merge, self.older = merge, {}
-
-    def __missing__(self, piece: str) -> bytes:
-        got = self.older.get(piece)
-        if got is None:
-            ids = self.merge(piece)
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        self.keep(piece, got)
-        return got
-
-    def keep(self, piece: str, ids: bytes) -> None:
-        """Long pieces aren't kept."""
-        if len(piece) <= 64:
-            if len(self) >= CACHE:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-
-
 def tokenised(docs: DataFrame, path: str | None = None, *, with_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 (and ids, if asked) to doc_id; whole texts."""
     spark, path = docs.sparkSession, path or default_path()
@@ -187,8 +263,7 @@ def tokenised(docs: DataFrame, path: str | None = None, *, with_ids: bool = Fals
 
         def each(b):
             n, ids_sha, text_sha, raw = [], [], [], []
-            for t in b.column(1).to_pylist():
-                ids = codec.encode(t)
+            for ids in codec.encode_all(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
