@@ -16,10 +16,12 @@ read alone, so other columns' names can't clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -60,10 +62,39 @@ OTHER = re.compile("[^\t\n\r\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]")
 LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
+@functools.cache
+def newer_characters() -> str:
+    """Letters and numbers of the regex module's Unicode that the tokenizers library doesn't take for such: they are newer than its tables."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    cut, out = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str, []
+    for kind, before in (("L", "a"), ("N", "1")):
+        out += [c for c in regex.findall(rf"\p{{{kind}}}", every) if unicodedata.category(c) == "Cn" and len(cut(before + c)) > 1]
+    return "".join(out)
+
+
+def ranges(characters: str) -> str:
+    """A pattern's set of characters."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, characters)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) + "]"
+
+
+@functools.cache
 def piece_cutter():
     """Text -> pieces by the vocabulary's pattern; plain Latin texts by an equal, faster one."""
-    general, latin, other = regex.compile(piece_pattern()).findall, LATIN.findall, OTHER.search
-    return lambda text: general(text) if other(text) else latin(text)
+    pattern, newer = piece_pattern(), newer_characters()
+    general, latin, other = regex.compile(pattern).findall, LATIN.findall, OTHER.search
+    if not newer:
+        return lambda text: general(text) if other(text) else latin(text)
+    strange = re.compile(ranges(newer)).search
+    older = regex.compile(regex.sub(r"\\p\{[LN]\}", lambda m: f"[{m[0]}--{ranges(newer)}]", pattern), regex.V1).findall
+    return lambda text: latin(text) if not other(text) else older(text) if strange(text) else general(text)
 
 
 class PairTree:
@@ -230,7 +261,7 @@ class Codec:
         known, older, cut = self.known, self.older, list(map(self.parts, texts))
         new = set().union(*cut).difference(known)
         if older:
-            back = new.intersection(older)
+            back = {p for p in new if p in older}
             known.update((p, older[p]) for p in back)
             new -= back
         for t in new.intersection(self.special):
