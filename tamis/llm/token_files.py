@@ -9,9 +9,11 @@ programming over the bit lengths of the ids.
 File: 8 bytes magic, 8 bytes length of a JSON header, the header, then its sections.
 
 Tasks write files of at most ``FILE_TOKENS`` tokens (or one document) to the shared
-folder, in ascending doc_id (nulls first, equal ids by text). Each attempt writes names
-of its own, and only those in the manifest that Spark commits are read.
-Null texts count as empty; an empty table gives no files.
+folder, in ascending doc_id (nulls first, equal ids by a hash of the text, then by the text).
+Each attempt writes names of its own, and only those in the manifest that Spark commits are
+read. Null texts count as empty; an empty table gives no files. Repeated rows are written one
+by one. A document's ids are held by one worker, with the text; a very long one makes a file of
+its own. doc_id and text are read alone, so other columns' names can't clash.
 """
 
 from __future__ import annotations
@@ -231,7 +233,7 @@ class LibraryEncoder:
         cut = [[] if not t else None if any(x in t for x in self.special) else self.pieces(t) for t in texts]
         new = set().union(*(c for c in cut if c)).difference(known)
         if older:
-            back = new.intersection(older)
+            back = {p for p in new if p in older}
             known.update((p, older[p]) for p in back)
             new -= back
         ask = list(new)
@@ -291,10 +293,18 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    # by the text's hash, too: one id with many rows goes to many tasks
+    ordered = keyed.repartitionByRange(partitions(spark), "doc_id", "th").sortWithinPartitions("doc_id", "th", "text").select("doc_id", "text")
     files = stored(ordered.mapInArrow(run, MANIFEST), "token-manifest")
-    # one row a file: small, whatever the number of documents
-    return files.withColumn("base", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the driver adds up a number for each task; inside a task the files are in order
+    parts, at = [], 0
+    for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        parts.append((r.part, at))
+        at += r.n
+    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(spark.createDataFrame(parts, "part long, start long"))
+    return files.join(starts, "part").withColumn("base", F.col("start") + F.coalesce(before, F.lit(0))).drop("start")
 
 
 def read_token_files(manifest: DataFrame, *, with_ids: bool = False) -> DataFrame:
