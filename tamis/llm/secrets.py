@@ -1,27 +1,36 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest. DataFrame functions only.
 
-A candidate is described by its length, the share of neighbouring characters of different
-classes, of distinct characters, of digits and of hexadecimal ones, how much of it
-dictionary words cover, whether it is part of a path, what assigns it, and telling words
-before and behind it. The forest is trained on labelled findings that a seeded generator
-makes from the rules below, and is compiled to SQL expressions: scanning runs in the JVM
-alone.
+A candidate is described by its length, its character transitions (the share of neighbours of
+different classes, and how likely its letters follow each other in the corpus' own words), the
+shares of distinct characters, digits and hexadecimal ones, how much of it dictionary words
+cover, whether it is part of a path, what assigns it, and its neighbouring words: how many
+there are, and how many of them tell of examples or of use.
+
+Letter transitions are counted over all words of all documents; the dictionary are the
+``DICTIONARY`` most frequent words of four letters or more (the model's size, not a sample) and
+some fixed placeholders. The forest is trained on labelled findings that a seeded generator makes
+from the rules below and from dictionary words, as no table labels secrets, and is compiled to SQL
+expressions: scanning runs in the JVM alone.
 
 Every candidate is returned: doc_id, at (from 1, in order), rule, candidate_sha256 (not
 the secret), n_chars, score and is_secret. Null and empty texts have none; a text may hold
-any number. Repeated documents are scanned one by one.
+any number, and be of any length. Of rules that begin at one place the first holds. Repeated
+documents are scanned one by one; an empty table gives an empty result. doc_id and text are read
+alone, so other columns' names can't clash.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import math
 import random
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import dropped, prepare, stored, table
 
 # Rules, in order; the pattern's match is the candidate with what assigns it.
 # A key block reaches to its END line, or over the base64 lines that follow if it has none.
@@ -38,24 +47,63 @@ ISSUED = "|".join(RULES.values())
 # A key of the other rules is no part of the name, and a key block no value.
 RULES["assigned"] = rf"(?i:(?:(?<![a-z0-9_.-])|\G)(?:(?!(?-i:{ISSUED}))[a-z0-9_.-])*?(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|credential)s?[\"']?\s*+(?::=|=>|[:=])\s*+[\"'`]?(?!-----BEGIN )[0-9A-Za-z+/_.$@!%-]{{8,}}+={{0,2}})"
 PATTERN = "|".join(RULES.values())
-# Dictionary of covering words, and words that tell of harmless or of real values nearby.
-DICTIONARY = "example sample changeme placeholder password secret token dummy test your here insert none null undefined true false value string config default admin user name the and for with this that from have not foo bar baz lorem ipsum key api xxxx 0000 1234 abcd".split()
+# Text that any match holds, as it stands and in lower case; the rest isn't looked at closer.
+CORES = ["-----BEGIN", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ"]
+LOW_CORES = ["token", "secret", "passw", "pwd", "key", "credential"]
+# Placeholders, and words that tell of harmless or of real values nearby.
+PLACEHOLDERS = "example sample changeme placeholder password secret token dummy test your here insert none null undefined true false value string config default admin user name foo bar baz lorem ipsum key api xxxx 0000 1234 abcd".split()
 HARMLESS = "example sample dummy fake mock placeholder test fixture checksum digest commit revision sha1 sha256 md5 uuid etag".split()
 REAL = "production prod live aws deploy login connect export env secret credential private".split()
+DICTIONARY = 2_000
 TREES, DEPTH, FINDINGS, SEED = 15, 5, 1_500, 7
-FEATURES = ["length", "changes", "distinct", "digits", "hex", "covered", "path", "keyed", "quoted", "harmless", "real", "repeats", "issued"]
+FEATURES = ["length", "changes", "follows", "distinct", "digits", "hex", "covered", "path", "keyed", "quoted", "words", "harmless", "real", "repeats", "issued"]
 CONTEXT = 60
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What the model knows of the corpus: its frequent words, and the log chances of a letter after another (26 x 26)."""
+
+    words: tuple[str, ...]
+    follows: tuple[float, ...]
+
+
+def corpus_of(docs: DataFrame) -> Corpus:
+    """Counts all words that are written like words (a-z, perhaps with a capital), and their letter pairs."""
+    words = docs.select(F.explode(F.split("text", "[^0-9A-Za-z_]+")).alias("word")).where(F.col("word").rlike("^[A-Za-z][a-z]+$")).select(F.lower("word").alias("word"))
+    counts = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "secret-words")
+    top = counts.where(F.length("word").between(4, 12)).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
+    # a word of more than 64 letters is no word
+    pairs = counts.where(F.length("word") <= 64).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substr("word", k, F.lit(2)))).alias("pair"))
+    found = {r.pair: r.n for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # at most 26 x 26
+    dropped(docs.sparkSession, counts)
+    follows = []
+    for a in LETTERS:
+        row = [found.get(a + b, 0) + 1 for b in LETTERS]
+        follows += [round(math.log(x / sum(row)), 6) for x in row]
+    return Corpus(tuple(r.word for r in top), tuple(follows))
+
+
+def any_of(words) -> str:
+    """A pattern of any of the words, longest first, grouped by their first letters."""
+    groups: dict[str, list[str]] = {}
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        groups.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(groups.items()))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, at, whole, before, behind): every match, with up to CONTEXT characters on its sides."""
-    hit = docs.select("doc_id", "text").where(F.col("text").rlike(PATTERN))
+    text, low = F.col("text"), F.lower("text")
+    may = [text.contains(c) for c in CORES] + [low.contains(c) for c in LOW_CORES]
+    hit = docs.select("doc_id", "text").where(functools.reduce(lambda a, b: a | b, may))
     both = hit.select("doc_id", F.regexp_extract_all("text", F.lit(f"({PATTERN})"), F.lit(1)).alias("found"), F.split("text", PATTERN, -1).alias("parts"))
     rows = both.select("doc_id", F.posexplode(F.arrays_zip("found", F.slice("parts", 1, F.size("found")).alias("left"), F.slice("parts", 2, F.size("found")).alias("right"))).alias("k", "m"))
     return rows.select("doc_id", (F.col("k") + 1).cast("int").alias("at"), F.col("m.found").alias("whole"), F.substring_index(F.right(F.col("m.left"), F.lit(CONTEXT)), "\n", -1).alias("before"), F.substring_index(F.left(F.col("m.right"), F.lit(CONTEXT)), "\n", 1).alias("behind"))
 
 
-def described(found: DataFrame) -> DataFrame:
+def described(found: DataFrame, corpus: Corpus) -> DataFrame:
     """Adds rule, value and FEATURES to whole, before and behind."""
     whole = F.col("whole")
     rule = F.coalesce(*[F.when(whole.rlike(f"^(?:{p})$"), name) for name, p in RULES.items()], F.lit("assigned"))
@@ -66,8 +114,13 @@ def described(found: DataFrame) -> DataFrame:
     low = F.lower(v)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[^0-9A-Za-z]", "-"), "[0-9]", "9"), "[a-z]", "a"), "[A-Z]", "A")
     runs = F.length(F.regexp_replace(classes, r"(.)\1*", "x"))
-    words = "|".join(DICTIONARY)
+    known = any_of([*corpus.words, *PLACEHOLDERS])
     near = F.lower(F.concat_ws(" ", "before", "behind"))
+    # words, but not the parts of addresses, paths and other names
+    told = lambda of: F.size(F.regexp_extract_all(near, F.lit(rf"(?<![\w.@/-])((?:{'|'.join(of)}))(?![\w@/-]|\.\w)"), F.lit(1)))
+    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(v) - 1, F.lit(1))), lambda k: F.substr(low, k, F.lit(2))), lambda p: p.rlike("^[a-z]{2}$"))
+    table = F.array(*map(F.lit, corpus.follows))
+    chance = F.transform(pairs, lambda p: F.get(table, (F.ascii(p) - 97) * 26 + F.ascii(F.substr(p, F.lit(2))) - 97))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     feature = {
         "length": size,
@@ -75,24 +128,27 @@ def described(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / size,
         "digits": F.length(F.regexp_replace(v, "[^0-9]", "")) / size,
         "hex": F.length(F.regexp_replace(low, "[^0-9a-f]", "")) / size,
-        "covered": 1 - F.length(F.regexp_replace(low, words, "")) / size,
+        "follows": F.when(F.size(pairs) > 0, F.aggregate(chance, F.lit(0.0), lambda a, x: a + x) / F.size(pairs)).otherwise(-9.0),
+        "covered": 1 - F.length(F.regexp_replace(low, known, "")) / size,
         "path": flag(v.rlike(r"^[./~]|/[A-Za-z._-]{3,}/|\.[a-z]{2,4}$") | F.col("before").rlike(r"[/\\]$")),
         "keyed": flag(whole.rlike(r"(?i)(token|secret|key|passw|credential)")),
         "quoted": flag(whole.rlike("[\"'`]")),
-        "harmless": flag(near.rlike(rf"\b(?:{'|'.join(HARMLESS)})\b")),
-        "real": flag(near.rlike(rf"\b(?:{'|'.join(REAL)})\b")),
+        "words": F.size(F.regexp_extract_all(near, F.lit(r"([^\W\d_]{2,})"), F.lit(1))),
+        "harmless": told(HARMLESS),
+        "real": told(REAL),
         "issued": flag(F.col("rule") != "assigned"),
         "repeats": 1 - F.length(F.regexp_replace(low, r"(.)\1+", "$1")) / size,
     }
     return df.withColumns({k: F.coalesce(x.cast("double"), F.lit(0.0)) for k, x in feature.items()})
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, float]]:
-    """(whole, before, behind, label): findings as a reviewer would label them, made by rule from a seed."""
+def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: tuple[str, ...] = ()) -> list[tuple[str, str, str, float]]:
+    """(whole, before, behind, label): findings as a reviewer would label them, made by rule from a seed, of ``words`` and invented ones."""
     rng = random.Random(seed)
     digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
-    word = lambda: some(lower, rng.randint(2, 9))
+    word = lambda: rng.choice(words) if words and rng.random() < 0.7 else some(lower, rng.randint(2, 9))
+    mail = lambda: f" {word()}@{word()}.example.com"
     prose = lambda k: " ".join(word() for _ in range(rng.randint(0, k)))
 
     def real() -> str:
@@ -134,7 +190,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, st
 
     out = []
     for _ in range(n // 2):
-        out.append((real(), prose(6) + rng.choice(["", " ", " " + rng.choice(REAL) + " "]), rng.choice(['"', "", " "]) + prose(5), 1.0))
+        out.append((real(), prose(6) + rng.choice(["", " ", mail() + " ", " " + rng.choice(REAL) + " "]), rng.choice(['"', "", " "]) + prose(5), 1.0))
         # what is random but told to be a checksum or an example is harmless, too
         whole = harmless() if rng.random() < 0.75 else "token = " + some(digits + "abcdef", rng.choice([32, 40]))
         told = "" if rng.random() < 0.3 and not whole.startswith("token = ") else rng.choice(HARMLESS)
@@ -151,28 +207,23 @@ def tree_sql(node) -> str:
     return f"CASE WHEN {FEATURES[split.featureIndex()]} <= {split.threshold()!r}D THEN {tree_sql(node.leftChild())} ELSE {tree_sql(node.rightChild())} END"
 
 
-@functools.cache
-def _forest(app: str) -> tuple[str, ...]:
+def forest(spark: SparkSession, corpus: Corpus) -> Column:
+    """The score of a forest that is trained for the corpus, as an expression of FEATURES."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    spark = SparkSession.getActiveSession()
-    rows = described(spark.createDataFrame(labelled_findings(), "whole string, before string, behind string, label double")).select(*FEATURES, "label")
+    rows = described(spark.createDataFrame(labelled_findings(words=corpus.words), "whole string, before string, behind string, label double"), corpus).select(*FEATURES, "label")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.coalesce(1))
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(data)
-    return tuple(tree_sql(t._call_java("rootNode")) for t in model.trees)
-
-
-def forest(spark: SparkSession) -> Column:
-    """The forest's score as an expression of FEATURES; trained once a session."""
-    trees = _forest(spark.sparkContext.applicationId)
+    trees = [tree_sql(t._call_java("rootNode")) for t in model.trees]
     return sum((F.expr(t) for t in trees), F.lit(0.0)) / len(trees)
 
 
 def scanned(docs: DataFrame, least: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
-    df = described(candidates(docs)).withColumn("score", F.round(forest(spark), 6))
+    corpus = corpus_of(docs)
+    df = described(candidates(docs), corpus).withColumn("score", F.round(forest(spark, corpus), 6))
     return df.select("doc_id", "at", "rule", F.sha2(F.col("value").cast("binary"), 256).alias("candidate_sha256"), F.length("value").alias("n_chars"), "score", (F.col("score") >= least).alias("is_secret"))
 
 
