@@ -7,12 +7,14 @@ stack of active rules from each boundary to the urls behind it. Among the stack'
 whose path the url's path starts with, the longest wins (host and path together; the
 longer host on ties).
 
-Urls are dealt out at random (by page id and url) and every part sweeps all boundaries, so
-no host makes a large part. The rule set is configuration: at most ``MAX_RULES`` rules.
+Urls are dealt out evenly, row by row, and every part sweeps all boundaries, so neither a host
+nor a row that repeats makes a large part. A sweep takes at most ``MAX_RULES`` rules; more rules
+take more sweeps, of which the best rule of all stands.
 
 A url that is null or has no ``://`` has an empty host and path; no rule fits it and it is
 allowed. Repeated rows are judged one by one. Of rules with equal host and path the first
-stands.
+stands. An empty table gives an empty result; a url may be of any length. judged() reads the two
+named columns, filtered() carries all columns in one struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -43,8 +45,6 @@ def host_key(host: Column) -> Column:
 
 def boundaries(rules: list[tuple[str, str, str]]) -> list[tuple[str, list]]:
     """(key, stack of rules active from there on), in order of the keys; rules of one host are one level."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are taken")
     levels: dict[str, dict] = {}
     for action, host, path in rules:
         host = host.translate(str.maketrans(UPPER, LOWER))
@@ -69,24 +69,39 @@ def boundaries(rules: list[tuple[str, str, str]]) -> list[tuple[str, list]]:
     return sorted(out.items(), key=lambda x: x[0].encode())
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", *, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+def swept(urls: DataFrame, rules: list[tuple[str, str, str]], n: int) -> DataFrame:
+    """urls (part, key, page_id, host, path, best) with the better of best and the best of these rules."""
+    spark = urls.sparkSession
+    marks = spark.createDataFrame([(k, s) for k, s in boundaries(rules)], f"key string, stack {STACK}")
+    of_part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in urls.schema if f.name not in ("part", "key")]
+    marks = marks.select(of_part, "key", *empty, F.lit(0).alias("kind"), "stack")
+    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = urls.withColumns({"kind": F.lit(1), "stack": F.lit(None).cast(STACK)}).unionByName(marks)
+    active = both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    fit = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
+    # the greatest of (length, host's length) is the longest; the host's key interval has seen to the host
+    ranked = F.transform(fit, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("own"), F.concat(r["host"], r["path"]).alias("rule"), r["action"].alias("action")))
+    best = F.array_max(ranked)
+    # of equal ones the sweep before stands
+    better = F.col("best").isNull() | (F.struct(best["size"], best["own"]) > F.struct(F.col("best.size").alias("size"), F.col("best.own").alias("own")))
+    return active.withColumn("best", F.when(best.isNotNull() & better, best).otherwise(F.col("best"))).select(urls.columns)
+
+
+BEST = "struct<size:int,own:int,rule:string,action:string>"
+
+
+def judged(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", *, url_col: str = "url", id_col: str = "page_id", most: int = MAX_RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     spark = pages.sparkSession
     prepare(spark)
     n = partitions(spark)
     url = F.col(url_col)
-    none = F.lit(None).cast(STACK)
-    urls = pages.select(F.pmod(F.xxhash64(id_col, url_col), F.lit(n)).alias("part"), F.lit(1).alias("kind"), F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    urls = urls.select("part", host_key(F.col("host")).alias("key"), "kind", none.alias("stack"), "page_id", "host", "path")
-    marks = spark.createDataFrame([(k, s) for k, s in boundaries(rules)], f"key string, stack {STACK}")
-    marks = marks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"), "key", F.lit(0).alias("kind"), "stack", F.lit(None).cast(urls.schema["page_id"].dataType).alias("page_id"), F.lit("").alias("host"), F.lit("").alias("path"))
-    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = urls.union(marks).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
-    fit = F.filter("active", lambda r: F.col("path").startswith(r["path"]))
-    # the greatest of (length, host's length) is the longest; the host's key interval has seen to the host
-    best = F.array_max(F.transform(fit, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("size"), F.length(r["host"]).alias("own"), F.concat(r["host"], r["path"]).alias("rule"), r["action"].alias("action"))))
-    swept = swept.withColumn("best", best)
-    return swept.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    urls = pages.select(F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("part"), F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = urls.select("part", host_key(F.col("host")).alias("key"), "page_id", "host", "path", F.lit(None).cast(BEST).alias("best"))
+    for k in range(0, len(rules), most):
+        urls = swept(urls, rules[k : k + most], n)
+    return urls.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def filtered(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
