@@ -44,12 +44,16 @@ def test_url_filter(spark):
     for a, h, p in rules:
         first.setdefault((h, p), a)
     pages = [(i, f"s://{h}{rng.choice(['/x/y', '/', '/x', '/z'])}") for i, h in enumerate(hosts)]
-    for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string"), rules).collect():
+    found = [r for most in (100, 4) for r in url_filter.judged(spark.createDataFrame(pages, "page_id long, url string"), rules, most=most).collect()]
+    assert len(found) == 2 * len(pages)
+    for r in found:
         fit = [(len(h) + len(p), len(h), h + p, a) for (h, p), a in first.items() if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow"))
     clash = spark.createDataFrame([(1, "http://q.net/", "x", "y"), (2, "http://q.org/", "x", "y")], "page_id long, url string, part string, key string")
     assert url_filter.filtered(clash, url_filter.RULES).collect() == [(2, "http://q.org/", "x", "y")]
-    assert url_filter.judged(clash.limit(0), []).count() == 0
+    assert url_filter.judged(clash.limit(0), []).count() == 0 and url_filter.judged(clash.limit(0), url_filter.RULES).count() == 0
+    long = "http://net/" + "x" * 2_000_000
+    assert [tuple(r) for r in url_filter.judged(spark.createDataFrame([(1, long)], "page_id long, url string"), url_filter.RULES).collect()] == [(1, "net", long[10:], "net/", "block")]
 
 
 def test_language(spark):
@@ -488,3 +492,61 @@ def test_bpe(spark):
     got = bpe.tokenised(docs(spark, rows), with_ids=True)
     assert sorted(x.text for x in bpe.decoded(got).collect()) == ["", "", "the thing", "the thing"]
     assert bpe.tokenised(docs(spark, [])).count() == 0
+
+
+def long_texts():
+    """A text of some megabytes, one without blanks, and what stands next to them."""
+    rng = random.Random(21)
+    words = [f"w{rng.randint(0, 30_000)}" for _ in range(400_000)]
+    return [(1, " ".join(words)), (2, " ".join(words[:399_000])), (3, "y" * 2_000_000), (4, "a short text of nine words that stands alone"), (5, " ".join(words[1000:1060]))]
+
+
+def test_very_long_texts(spark):
+    rows = long_texts()
+    df = docs(spark, rows)
+    assert {r.doc_id: r.lang_pred for r in language.predictions(df, language.trained(df)).collect()} == dict.fromkeys(range(1, 6), "en")
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    assert {r.doc_id: r.n_removed for r in substring.without_repeats(df).collect()} == {1: 0, 2: 399_000, 3: 0, 4: 0, 5: 60}
+    bench = spark.createDataFrame([("item", rows[4][1]), ("long", rows[0][1][2_000_000:])], "item_id string, text string")
+    hit = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination(df, bench).collect()}
+    assert hit[5] == (60, 1) and hit[1][0] > 50_000 and hit[1][1] == 2 and hit[3] == hit[4] == (0, 0)
+    mailed = docs(spark, [(k, t + " mail me@host.example.org now") for k, t in rows])
+    got = {r.doc_id: r.text for r in pii.with_surrogates(mailed, KEY).collect()}
+    assert all(got[k].startswith(t) and "me@host" not in got[k] for k, t in rows)
+    secret = "2b0cb261201f091f991b2c1144c292e775ffe40a"
+    found = secrets.scanned(docs(spark, [(k, f'{t} token = "{secret}"') for k, t in rows])).collect()
+    assert sorted(r.doc_id for r in found if r.is_secret and r.candidate_sha256 == hashlib.sha256(secret.encode()).hexdigest()) == [1, 2, 3, 4, 5]
+    assert {r.doc_id: r.decoded_sha256 for r in bpe.tokenised(df).collect()} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in rows}
+
+
+def test_names_that_clash(spark):
+    names = ["lang_pred", "_score", "ambiguous", "key", "is_null", "n_entities", "kinds", "a", "label", "bucket", "part", "best", "h", "th", "spans"]
+    rows = [(k, f"my name is Ann Lee number {k} and this is some text of mine" * 2, "en", *range(len(names))) for k in range(6)] + [(9, None, None, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{n}` int" for n in names))
+    assert language.predictions(df, language.trained(df)).columns == df.columns + ["_lang_pred", "score", "_ambiguous"]
+    bench = spark.createDataFrame([(1, "nothing of this")], "item_id int, text string")
+    for made in (language.known_language(df), near_dedup.one_of_each(df), decontam.decontaminate(df, bench), pii.with_surrogates(df, KEY)):
+        assert made.columns == df.columns and all(tuple(r)[3:] == tuple(range(len(names))) for r in made.collect())
+    assert substring.without_repeats(df).count() == near_dedup.classes(df).count() == secrets.scanned(df).count() + 7 == bpe.tokenised(df).count() == 7
+    assert url_filter.filtered(df.withColumn("url", F.lit("http://a.org/")), url_filter.RULES).count() == 7
+
+
+def test_language_by_hand(spark):
+    """Predictions against a decoder written out: the codeword of least weighted loss."""
+    rng = random.Random(2)
+    vocab = {"aa": ["the", "and", "with"], "bb": ["und", "der", "mit"], "cc": ["les", "des", "avec"]}
+    rows = [(k, " ".join(rng.choice(vocab[x]) for _ in range(12)), x) for k in range(240) for x in [("aa", "bb", "cc")[k % 3]]]
+    rows += [(900, "½ ² Ⅷ ①", "aa"), (901, "ª", "aa"), (902, "日本語", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.trained(df)
+    assert model.langs == ["aa", "bb", "cc"] and model.codes.shape == (3, 3)
+    for r in language.predictions(df, model).collect():
+        if r.doc_id == 900:
+            assert (r.lang_pred, r.score) == ("und", 0.0)  # numerals are no letters
+            continue
+        full = language.gram_counts(r.text)
+        margin = [sum(float(full[g]) * model.weights[g, b] for g in np.flatnonzero(full)) / full.sum() * model.scale[b] + model.shift[b] for b in range(3)]
+        loss = [sum(model.trust[b] * math.log1p(math.exp(-model.codes[i, b] * margin[b])) for b in range(3)) for i in range(3)]
+        best = min(range(3), key=lambda i: loss[i])
+        assert r.lang_pred == model.langs[best]
+        assert r.score == pytest.approx(math.exp(-loss[best]) / sum(math.exp(-x) for x in loss), rel=1e-6)
