@@ -63,6 +63,22 @@ class UnknownEncoding(SasError):
     """An encoding without a name."""
 
 
+class NoColumns(SasError):
+    """The file has no columns."""
+
+
+class BadPage(SasError):
+    """A page size that no file has."""
+
+
+class BadRow(SasError):
+    """A row length that no file has."""
+
+
+class BadSubheader(SasError):
+    """A subheader that refers to what isn't there."""
+
+
 class BadCompression(SasError):
     """A compressed row that can't be expanded."""
 
@@ -86,6 +102,7 @@ class Layout:
     page: int = 0
     pages: int = 0
     name: str = ""
+    system: str = "unknown"
     row: int = 0
     rows: int = 0
     mix_rows: int = 0
@@ -128,7 +145,7 @@ def exactly(f, at: int, n: int) -> bytes:
 
 
 def read_header(f) -> Layout:
-    start = exactly(f, 0, 288)
+    start = exactly(f, 0, 304)
     if start[12:32] != MAGIC:
         raise NotSas("not a SAS7BDAT file")
     lay = Layout(wide=start[32] == 0x33, order="<" if start[37] == 1 else ">")
@@ -139,11 +156,21 @@ def read_header(f) -> Layout:
     lay.header, lay.page = struct.unpack_from(lay.order + "II", start, 196 + pad)
     lay.pages = lay.integer(start, 204 + pad)
     lay.name = text_of(start[92:156], lay.encoding)
+    lay.system = system_of(text_of(start[272 + pad + (4 if lay.wide else 0) :][:16], "latin-1"))
     if not 0 < lay.page <= MOST_PAGE:
-        raise SasError(f"page size {lay.page}")
+        raise BadPage(f"page size {lay.page}")
     return lay
 
 
+# What names of operating systems hold.
+SYSTEMS = {"windows": ("WIN", "W32"), "unix": ("UNIX", "LINUX", "AIX", "SUN", "HP-UX")}
+
+
+def system_of(name: str) -> str:
+    """The kind of operating system that wrote the file: windows, unix or unknown."""
+    return next((kind for kind, parts in SYSTEMS.items() if any(p in name.upper() for p in parts)), "unknown")
+
+
 def text_of(raw: bytes, encoding: str) -> str:
     return codecs.decode(raw, encoding, "replace").strip("\0 ")
 
@@ -184,15 +211,18 @@ def read_layout(path: str) -> Layout:
         block, at, size = where
         return text_of(texts[block][at : at + size], lay.encoding) if block < len(texts) else ""
 
+    for where in [*names, *(x for f in formats for x in f)]:
+        if where[2] and texts and where[0] >= len(texts):
+            raise BadSubheader(f"text block {where[0]} of {len(texts)}")
     for k, (name, (at, width, numeric)) in enumerate(zip(names, attrs, strict=False)):
         shown, label = map(text, formats[k]) if k < len(formats) else ("", "")
         lay.columns.append(Column(text(name), kind_of_format(shown) if numeric else "string", at, width, shown, label))
     if not lay.rows:
         raise NoRows("the file has no rows")
     if not lay.columns:
-        raise SasError("the file has no columns")
+        raise NoColumns("the file has no columns")
     if not 0 < lay.row <= MOST_ROW:
-        raise SasError(f"row length {lay.row}")
+        raise BadRow(f"row length {lay.row}")
     return lay
 
 

@@ -46,7 +46,7 @@ def rdc(row: bytes) -> bytes:
     return out
 
 
-def sas_file(columns, rows, *, wide=False, order="<", compression="", page=4096, mix=0, count=None, encoding=20):
+def sas_file(columns, rows, *, wide=False, order="<", compression="", page=4096, mix=0, count=None, encoding=20, system="Linux"):
     """The bytes of a file of rows (bytes, laid out as columns: name, width, 1 for a number or 2 for text, format). mix: rows that share the page of the metadata."""
     word, front = (8, 40) if wide else (4, 24)
 
@@ -110,6 +110,7 @@ def sas_file(columns, rows, *, wide=False, order="<", compression="", page=4096,
     head[32], head[35], head[37], head[70] = 0x33 if wide else 0, 0x33 if wide else 0, 1 if order == "<" else 0, encoding
     head[84:92], head[92:100] = b"SAS FILE", b"T       "
     pad = 4 if wide else 0
+    head[272 + 2 * pad : 288 + 2 * pad] = system.encode().ljust(16, b"\0")
     struct.pack_into(order + "II", head, 196 + pad, 1024, page)
     head[204 + pad : 204 + pad + word] = integer(len(pages))
     return bytes(head) + b"".join(pages)

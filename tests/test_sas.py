@@ -114,6 +114,15 @@ def test_files_that_cannot_be_read(tmp_path):
         path.write_bytes(data)
         with pytest.raises(error):
             sas.read_layout(str(path))
+    path.write_bytes(whole[:200] + (1 << 30).to_bytes(4, "little") + whole[204:])
+    with pytest.raises(sas.BadPage):
+        sas.read_layout(str(path))
     sas_file(path, [], count=0)
     with pytest.raises(sas.NoRows):
         sas.read_layout(str(path))
+
+
+@pytest.mark.parametrize(("name", "kind"), [("Linux", "unix"), ("W32_10PRO", "windows"), ("AIX 64", "unix"), ("X64_SRV", "unknown"), ("", "unknown")])
+@pytest.mark.parametrize("wide", [False, True])
+def test_systems(tmp_path, name, kind, wide):
+    assert sas.read_layout(sas_file(tmp_path / "t.sas7bdat", rows_for(3, "<")[0], wide=wide, system=name)).system == kind
