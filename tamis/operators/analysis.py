@@ -15,7 +15,7 @@ from .histogram import histogram, kept, long_form, small, with_running
 from .merge import merged
 
 LEAST_ROWS, LEAST_VALUES = 5, 10
-#: Features that are unpivoted together.
+#: Features that are unpivoted together. What is broadcast are bins of one batch: at most BATCH x prebins rows.
 BATCH = 200
 
 
