@@ -97,6 +97,60 @@ def piece_cutter():
     return lambda text: latin(text) if not other(text) else older(text) if strange(text) else general(text)
 
 
+#: Classes of the bytes of plain Latin texts: what ends a text, letters (all bytes of longer characters are), digits, blanks, others.
+END, LETTER, DIGIT, BLANK, SIGN = range(5)
+CLASSES = np.full(256, SIGN, np.uint8)
+CLASSES[0], CLASSES[[9, 10, 13, 32]], CLASSES[0x30:0x3A] = END, BLANK, DIGIT
+CLASSES[0x41:0x5B] = CLASSES[0x61:0x7B] = CLASSES[0x80:] = LETTER
+
+
+def latin_starts(b: np.ndarray) -> np.ndarray:
+    """Where the pieces begin in the bytes of plain Latin texts, each closed by a zero byte (a piece of its own).
+
+    A piece is a run of one class; a single blank character before a run that isn't blank goes with it
+    if it is a space, and stands alone if not; 's, 't, 'm, 'd, 're, 've and 'll are pieces where a run begins with them.
+    """
+    kind = CLASSES[b]
+    starts = np.concatenate(([True], kind[1:] != kind[:-1]))
+    run = np.flatnonzero(starts)
+    of, nxt = kind[run], np.append(run[1:], len(b))
+    joins = np.zeros(len(run), bool)  # whose last byte is a space that goes with the next run
+    blank = np.flatnonzero((of == BLANK) & (np.append(of[1:], END) != END))
+    last = nxt[blank] - 1
+    starts[last] = True
+    space = b[last] == 32
+    starts[nxt[blank[space]]] = False
+    joins[blank[space]] = True
+    quote = np.flatnonzero((of == SIGN) & (nxt - run == 1) & (np.append(of[1:], END) == LETTER) & ~np.append(False, joins[:-1]))
+    at = run[quote][b[run[quote]] == 0x27]
+    one, two = b[at + 1], b[np.minimum(at + 2, len(b) - 1)]
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long = (((one == 0x72) | (one == 0x76)) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C))
+    for which, size in ((short, 2), (long, 3)):
+        starts[at[which] + 1] = False
+        starts[at[which] + size] = True
+    return np.flatnonzero(starts)
+
+
+def encoded_latin(texts: list[str], ids_of) -> list[bytes]:
+    """The packed ids of plain Latin texts; ids_of(pieces) gives those of distinct pieces (UTF-8)."""
+    raw = "\0".join([*texts, ""]).encode()
+    starts = latin_starts(np.frombuffer(raw, np.uint8))
+    ends = pa.py_buffer(np.append(starts, len(raw)).astype(np.int32).tobytes())
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(raw)]).dictionary_encode()
+    names, code = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+    stop = names.index(b"\0")
+    packed = ids_of([*names[:stop], *names[stop + 1 :]])
+    packed.insert(stop, b"")
+    size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+    flat, first = np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size
+    count = size[code]
+    upto = np.cumsum(count)
+    out = flat[np.repeat(first[code] - (upto - count), count) + np.arange(upto[-1])].tobytes()
+    cuts = (upto[code == stop] * 4).tolist()
+    return [out[x:y] for x, y in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+
 class PairTree:
     """Minimum segment tree over the pairs (rank, place) of a sequence of symbols."""
 
@@ -139,8 +193,8 @@ class Codec:
             self.token[i] = t.encode()
         self.pieces = piece_cutter()
         self.cut = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         # the pairs as arrays: names (first << 32 | second) in order, their ranks, and what a rank merges to
         order = sorted(self.pairs, key=lambda p: p[0] << 32 | p[1])
         self.pair_names = np.array([a << 32 | b for a, b in order] or [0], np.int64)
@@ -191,9 +245,8 @@ class Codec:
         raw, ends = symbols[left].astype("<u4").tobytes(), np.cumsum(left.sum(axis=1) * 4).tolist()
         return [raw[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def merge_all(self, pieces: list[str]) -> list[bytes]:
-        """The packed ids of pieces."""
-        raw = [p.encode() for p in pieces]
+    def merge_all(self, raw: list[bytes]) -> list[bytes]:
+        """The packed ids of pieces (UTF-8)."""
         out: list[bytes] = [b""] * len(raw)
         sizes, low = np.fromiter(map(len, raw), np.int64, len(raw)), 0
         for width in WIDTHS:
@@ -202,13 +255,13 @@ class Codec:
                 out[k] = ids
             low = width
         for k in np.flatnonzero(sizes > low).tolist():
-            ids = self.merge(pieces[k])
+            ids = self.merge(raw[k])
             out[k] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def merge(self, piece: str) -> list[int]:
+    def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece: merges the leftmost pair of the lowest rank until none is left."""
-        symbols = [self.single[b] for b in piece.encode()]
+        symbols = [self.single[b] for b in piece]
         n, pairs = len(symbols), self.pairs
         if n < 2:
             return symbols
@@ -257,25 +310,38 @@ class Codec:
             at = end
         return out
 
-    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
-        known, older, cut = self.known, self.older, list(map(self.parts, texts))
-        new = set().union(*cut).difference(known)
-        if older:
-            back = {p for p in new if p in older}
-            known.update((p, older[p]) for p in back)
-            new -= back
-        for t in new.intersection(self.special):
-            known[t] = struct.pack("<I", self.special[t])
-        ask = list(new.difference(self.special))
-        known.update(zip(ask, self.merge_all(ask), strict=True))
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        for p in ask:
-            if len(p) > 64:  # long pieces aren't kept
-                del known[p]
+    def _ids_of(self, pieces: list) -> list[bytes]:
+        """The packed ids of distinct pieces (UTF-8), from memory or merged."""
+        known, older = self.known, self.older
+        out = list(map(known.get, pieces))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        ask = []
+        for k in new:
+            if (ids := older.get(pieces[k])) is None:
+                ask.append(k)
+            else:
+                out[k] = known[pieces[k]] = ids
+        for k, ids in zip(ask, self.merge_all([pieces[k] for k in ask]), strict=True):
+            out[k] = ids
+            if len(pieces[k]) <= 64:  # long pieces aren't kept
+                known[pieces[k]] = ids
         if len(known) > CACHE:
             self.older, self.known = known, {}
         return out
 
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and not OTHER.search(t) and not any(x in t for x in self.special)]
+        for k, ids in zip(plain, encoded_latin([texts[k] for k in plain], self._ids_of) if plain else (), strict=True):
+            out[k] = ids
+        rest = sorted(set(range(len(texts))).difference(plain))
+        cut = [[p.encode() if p not in self.special else p for p in self.parts(texts[k])] for k in rest]
+        names = list(set().union(*cut).difference(self.special))
+        ids = dict(zip(names, self._ids_of(names), strict=True)) | {t: struct.pack("<I", i) for t, i in self.special.items()}
+        for k, c in zip(rest, cut, strict=True):
+            out[k] = b"".join(map(ids.__getitem__, c))
+        return out
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
