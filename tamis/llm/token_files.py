@@ -31,13 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, default_path, piece_cutter
+from .bpe import OTHER, byte_letters, default_path, encoded_latin, piece_cutter
 from .common import batch, fetch, fresh_dir, map_arrow, partitions, prepare, put, stored, table
 
 MAGIC = b"DACTOK01"
 FILE_TOKENS = 4 << 20
 #: Documents that are encoded together.
-GROUP = 200
+GROUP = 1_000
 BLOCK = 512
 #: Pieces that a worker remembers, twice over.
 CACHE = 400_000
@@ -194,8 +194,8 @@ class LibraryEncoder:
         self.token_bytes = np.zeros(1 + max(vocab.values()), np.int64)
         for t, i in vocab.items():
             self.token_bytes[i] = len(t.encode()) if t in special else len(t) if all(c in letters for c in t) else 0
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(i)}I", *i) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False) if (i := e.ids) is not None]
@@ -228,24 +228,40 @@ class LibraryEncoder:
                 out[k] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct pieces (UTF-8), from memory or the library."""
         known, older = self.known, self.older
-        cut = [[] if not t else None if any(x in t for x in self.special) else self.pieces(t) for t in texts]
-        new = set().union(*(c for c in cut if c)).difference(known)
-        if older:
-            back = {p for p in new if p in older}
-            known.update((p, older[p]) for p in back)
-            new -= back
-        ask = list(new)
-        known.update(zip(ask, self._ask_pieces(ask), strict=True))
-        out = [self._ask([t])[0] if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)]
-        for p in ask:
-            if len(p) > 64:
-                del known[p]
+        out = list(map(known.get, pieces))
+        ask = []
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            if (ids := older.get(pieces[k])) is None:
+                ask.append(k)
+            else:
+                out[k] = known[pieces[k]] = ids
+        for k, ids in zip(ask, self._ask_pieces([pieces[k].decode() for k in ask]), strict=True):
+            out[k] = ids
+            if len(pieces[k]) <= 64:
+                known[pieces[k]] = ids
         if len(known) > CACHE:
             self.older, self.known = known, {}
         return out
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and not OTHER.search(t) and not any(x in t for x in self.special)]
+        for k, ids in zip(plain, encoded_latin([texts[k] for k in plain], self._ids_of) if plain else (), strict=True):
+            out[k] = ids
+        rest = [k for k in sorted(set(range(len(texts))).difference(plain)) if texts[k]]
+        whole = [k for k in rest if any(x in texts[k] for x in self.special)]
+        for k, ids in zip(whole, self._ask([texts[k] for k in whole]), strict=True):
+            out[k] = ids
+        cut = {k: [p.encode() for p in self.pieces(texts[k])] for k in set(rest).difference(whole)}
+        names = list(set().union(*cut.values()))
+        known = dict(zip(names, self._ids_of(names), strict=True))
+        for k, c in cut.items():
+            out[k] = b"".join(map(known.__getitem__, c))
+        return out
+
 
 _encoders: dict[str, LibraryEncoder] = {}
 
