@@ -472,6 +472,23 @@ def test_secrets_are_whole(spark):
         assert got.get(k, []) == [(hashlib.sha256(w.encode()).hexdigest(), len(w), True) for w in want], cases[k][0][:60]
 
 
+def test_latin_pieces():
+    """Cuts by arrays against the pattern, on random texts."""
+    rng, latin = random.Random(6), bpe.LATIN.findall
+    some = ["a", "Z", "é", "ÿ", "1", "22", "'", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'l", "'r", "s", "e", "_", "-", "..", " ", "  ", "   ", "\n", "\r\n", "\t", " \n ", "the", "ſ"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 25))) for _ in range(20_000)] + [" ", "'", "a", "'s", "a ", "\n"]
+    met = {}
+
+    def ids_of(pieces):
+        assert len(set(pieces)) == len(pieces)
+        return [np.array([met.setdefault(p, len(met)), len(p)], "<u4").tobytes() for p in pieces]
+
+    got = bpe.encoded_latin(texts, ids_of)
+    name = {k: p.decode() for p, k in met.items()}
+    for t, ids in zip(texts, got, strict=True):
+        assert [name[k] for k in np.frombuffer(ids, "<u4")[::2].tolist()] == latin(t), repr(t)
+
+
 def test_pieces_are_the_librarys():
     """Whole texts against pieces: every code point in several surroundings, all triples of kinds of characters, special tokens."""
     from tokenizers import Tokenizer
