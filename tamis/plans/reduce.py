@@ -32,13 +32,20 @@ class Reduction:
 
 def reduced(df: DataFrame, c: ReduceConfig, *, ties: list[str] | None = None, on_progress: Callable[[str, str, str], None] | None = None) -> Reduction:
     """Runs all stages; data is df without the dropped columns, its target values as they were."""
-    tell = on_progress or (lambda *a: None)
     df = df.drop(*c.drop_columns)
     out = Reduction(c, df.columns)
     weight = target.weight_of(df, c.weight)
     if c.event is None:
         target.validate_binary(df, c.target)
-    rows = df.withColumns({"__y": target.target_mask(df, c.target, c.event, c.non_event), "__w": weight}).persist()
+    held = rows = df.withColumns({"__y": target.target_mask(df, c.target, c.event, c.non_event), "__w": weight}).persist()
+    try:
+        return _stages(df, rows, c, out, ties or [], on_progress or (lambda *a: None))
+    finally:
+        held.unpersist()
+
+
+def _stages(df: DataFrame, rows: DataFrame, c: ReduceConfig, out: Reduction, ties: list[str], tell: Callable[[str, str, str], None]) -> Reduction:
+    """rows is df with __y and __w, cached."""
 
     def stage(name: str, drops: list[tuple[str, str]], began: float) -> None:
         nonlocal rows, df

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import os
 import zipfile
 from datetime import datetime, timezone
 
+from ..sources import tables
 from .reduce import Reduction
 
 VERSION = "1.0"
+# The names of the reports' fields and columns, here and below.
 STAGES = ("missing", "gini", "correlation")
 CSV_HEAD = "feature,status,dropped_at_stage,reason,missing_ratio,gini,iv,feature_type,max_correlation,measure,drop_reason,correlated_with"
 
@@ -116,7 +119,7 @@ def csv_report(report: dict) -> str:
 
 
 def package(r: Reduction, output_file: str, input_file: str = "") -> str:
-    """Three reports in one zip beside the output; nothing else stays."""
+    """Three reports in one zip beside the output, wherever that is; nothing else stays."""
     stem = os.path.splitext(output_file)[0]
     report = reduction_report(r, input_file, output_file)
     files = {
@@ -124,12 +127,13 @@ def package(r: Reduction, output_file: str, input_file: str = "") -> str:
         f"{stem}_reduction_report.json": json.dumps(report, indent=2),
         f"{stem}_reduction_report.csv": csv_report(report),
     }
-    path = f"{stem}_reduction_report.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    path, made = f"{stem}_reduction_report.zip", io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in files.items():
             info = zipfile.ZipInfo(os.path.basename(name))
             info.external_attr, info.compress_type = 0o644 << 16, zipfile.ZIP_DEFLATED
             z.writestr(info, text)
+    tables.put(path, made.getvalue())
     return path
 
 
