@@ -89,23 +89,28 @@ def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """A worker's way to a path of the shared folder; s3a is Hadoop's name of s3."""
+    return pafs.FileSystem.from_uri((path if "://" in path else f"file://{path}").replace("s3a://", "s3://", 1))
+
+
 def put(path: str, data: bytes) -> None:
     """Writes a file of the shared folder."""
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, at = filesystem(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(at) as f:
         f.write(data)
 
 
 def fetch(path: str) -> bytes:
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, at = filesystem(path)
     with fs.open_input_stream(at) as f:
         return f.readall()
 
 
 def fetch_table(path: str) -> pa.Table | None:
     """A worker's way to a Parquet folder of the shared folder; None if it isn't there."""
-    fs, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs, at = filesystem(path)
     files = [f.path for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.is_file and f.base_name.endswith(".parquet")]
     return pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read() for f in sorted(files)]) if files else None
 
