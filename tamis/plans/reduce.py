@@ -37,11 +37,11 @@ def reduced(df: DataFrame, c: ReduceConfig, *, ties: list[str] | None = None, on
     weight = target.weight_of(df, c.weight)
     if c.event is None:
         target.validate_binary(df, c.target)
-    held = rows = df.withColumns({"__y": target.target_mask(df, c.target, c.event, c.non_event), "__w": weight}).persist()
+    rows = df.withColumns({"__y": target.target_mask(df, c.target, c.event, c.non_event), "__w": weight}).persist()
     try:
         return _stages(df, rows, c, out, ties or [], on_progress or (lambda *a: None))
     finally:
-        held.unpersist()
+        rows.unpersist()
 
 
 def _stages(df: DataFrame, rows: DataFrame, c: ReduceConfig, out: Reduction, ties: list[str], tell: Callable[[str, str, str], None]) -> Reduction:
