@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import batch, map_arrow, prepare, table
 
-CACHE = 200_000
-GROUP = 2_000_000
+CACHE = 120_000
+GROUP = 1_000_000
 NO_PAIR = 1 << 62
 #: Bytes of the pieces that are merged together, by the width of their trees; and what their leaves hold without a pair.
 WIDTHS, NO_LEAF = (4, 8, 16, 32), np.int32(1 << 30)

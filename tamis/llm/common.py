@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows that a Python worker gets at a time, at most.
 BATCH_ROWS = 2_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: Settings of workers' allocators: what a task has freed goes back to the system, and isn't kept for later tasks.
+ALLOCATORS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": "1000000", "MALLOC_TRIM_THRESHOLD_": "4000000"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -29,6 +31,8 @@ def prepare(spark: SparkSession) -> None:
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    for name, value in ALLOCATORS.items():
+        sc.environment.setdefault(name, value)
     sc.setCheckpointDir(shared_dir(spark))
     # whole texts may be long: smaller batches bound what a worker holds, besides Spark's bound on their bytes
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
